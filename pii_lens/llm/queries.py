@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import mixing, packing, secrets, token_store
 from .common import documents
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), packing.Pack(_tokenizer("word_bpe_49k.json")))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.round_trip(documents(spark, sf_dir), token_store.Store(_tokenizer("byte_bpe_50k.json")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scans, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_secret_scans, op5_token_store, op8_mixing)}
 ORACLE_SQL: dict[str, str] = {}
