@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, secrets, token_store
+from . import langid, mixing, packing, quality, secrets, token_store
 from .common import documents
 
 
@@ -14,6 +14,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), packing.Pack(_tokenizer("word_bpe_49k.json")))
 
@@ -30,5 +35,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_secret_scans, op5_token_store, op8_mixing)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_packing, op4_secret_scans, op5_token_store, op8_mixing, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
