@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, packing, quality, secrets, simhash, token_store, topk, warc
+from . import langid, mixing, packing, quality, secrets, simhash, substring, token_store, topk, warc
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return langid.predict(docs, langid.train(docs))
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_packing, op4_secret_scans, op5_token_store, op6_simhash, op7_warc, op8_mixing, op9_exact_topk, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_packing, op4_secret_scans, op5_token_store, op6_simhash, op7_warc, op8_mixing, op9_exact_topk, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (
