@@ -61,12 +61,19 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.vstack([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
 
 
+def size_of(text: str):
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return docs.select("doc_id", "source", size_of("text").alias("size"))
+
 
+def assign(rows: DataFrame, mix: Mix = Mix(), onto: DataFrame | None = None) -> DataFrame:
+    """``onto``, or else ``rows``, with source_size, target, taken and draws.
 
-def assign(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """``rows`` (doc_id, source, size; written, as it is read three times) with source_size, target, taken, cut and draws.
+    ``rows`` has doc_id, source and size of every document; it is written, as it is read twice. ``onto`` has the same
+    three columns and others that the result keeps.
 
     ``draws`` has a struct (pass, shard, words) for each time that the document is drawn; ``words`` is its size but for
     the one document of a source at which the target is reached, which is cut.
@@ -86,8 +93,11 @@ def assign(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
         [(r["source"], i, n_blocks[i], sizes[i], goal[i]) for i, r in enumerate(totals)], "source string, sid int, n_blocks int, source_size long, target double"
     )
     block = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(mix.seed)), F.col("n_blocks")).cast("int")
-    placed = rows.join(F.broadcast(sources), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("block", block)
-    weight = {(r["sid"], r["block"]): int(r["w"]) for r in placed.groupBy("sid", "block").agg(F.sum("size").alias("w")).collect()}
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(sources), df["source"].eqNullSafe(sources["source"])).drop(sources["source"]).withColumn("block", block)
+
+    weight = {(r["sid"], r["block"]): int(r["w"]) for r in place(rows).groupBy("sid", "block").agg(F.sum("size").alias("w")).collect()}
 
     rng = np.random.default_rng(mix.seed)
     drawn: list[list[tuple[int, int]]] = []  # of each source, its (pass, block) in order
@@ -112,7 +122,7 @@ def assign(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
             by_block.setdefault(b, []).append((p, int(shard), cut.get((i, p, b), -1)))
         plan += [(i, b, max((c for *_, c in x), default=-1), x) for b, x in by_block.items()]
     plan = spark.createDataFrame(plan, "sid int, block int, cut long, draws array<struct<pass:int,shard:int,limit:long>>")
-    found = placed.join(F.broadcast(plan), ["sid", "block"], "left")
+    found = place(rows if onto is None else onto).join(F.broadcast(plan), ["sid", "block"], "left")
     # Only the one cut block of a source needs its documents in order; a block has about block_words words.
     ahead = Window.partitionBy("sid", "block").orderBy(F.xxhash64("doc_id", F.lit(mix.seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     is_cut = F.coalesce(F.col("cut"), F.lit(-1)) >= 0
@@ -130,7 +140,7 @@ def assign(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mixed_sizes(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """A row per document: doc_id, size, source_size, target and taken words, and the shards that drew it."""
     prepare(docs.sparkSession)
-    rows = written(sized(docs).select("doc_id", "source", "size"), "mix-sizes")
+    rows = written(sized(docs), "mix-sizes")
     return assign(rows, mix).select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
@@ -141,12 +151,12 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """
     spark = docs.sparkSession
     prepare(spark)
-    keyed = written(sized(docs).select("*", F.monotonically_increasing_id().alias("row_of_mix")), "mix-docs")
-    rows = keyed.select(F.col("row_of_mix").alias("key_of_mix"), "doc_id", "source", "size")
-    draws = assign(rows, mix).select("key_of_mix", F.explode("draws").alias("draw_of_mix"))
-    out = keyed.join(draws, keyed["row_of_mix"] == draws["key_of_mix"])
-    words = F.col("draw_of_mix.words")
-    text = F.when(words >= F.col("size"), F.col("text")).otherwise(F.regexp_extract("text", F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){"), (words - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]+")), 0))
-    out = out.withColumn("text", text).repartition(mix.shards, F.col("draw_of_mix.shard"))
-    out = out.sortWithinPartitions(F.col("draw_of_mix.shard"), F.xxhash64("row_of_mix", "draw_of_mix.pass", F.lit(mix.seed)))
-    return out.select(*docs.columns)
+    rows = written(sized(docs), "mix-sizes")
+    whole = docs.select("doc_id", "source", size_of("text").alias("size"), F.struct(*docs.columns).alias("row_of_mix"))
+    out = assign(rows, mix, whole).select("size", "doc_id", "row_of_mix", F.explode("draws").alias("draw"))
+    # A cut document keeps its words and what stands between them.
+    cut = F.array_join(F.slice(F.regexp_extract_all("row_of_mix.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("draw.words").cast("int")), "")
+    text = F.when(F.col("draw.words") >= F.col("size"), F.col("row_of_mix.text")).otherwise(cut)
+    out = out.withColumn("row_of_mix", F.col("row_of_mix").withField("text", text)).repartition(mix.shards, F.col("draw.shard"))
+    out = out.sortWithinPartitions(F.col("draw.shard"), F.xxhash64("doc_id", "row_of_mix.text", "draw.pass", F.lit(mix.seed)))
+    return out.select("row_of_mix.*")

@@ -8,7 +8,7 @@ from . import langid, mixing, packing, quality, secrets, simhash, substring, tok
 from .common import documents
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir), packing.Pack(_tokenizer("word_bpe_49k.json")))
+    return packing.packed(documents(spark, sf_dir), packing.Pack(tokenizer("word_bpe_49k.json")))
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.round_trip(documents(spark, sf_dir), token_store.Store(_tokenizer("byte_bpe_50k.json")))
+    return token_store.round_trip(documents(spark, sf_dir), token_store.Store(tokenizer("byte_bpe_50k.json")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,5 +295,6 @@ def digests(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept words, joined by spaces, for its text where words went."""
     text = F.pandas_udf(lambda t, f: t.combine(f, lambda a, b: " ".join(kept_words(a, b)[1])), "string")
-    out = _joined(docs)
-    return out.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(text("text", "found"))).select(*docs.columns)
+    out = _joined(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row_kept")))
+    out = out.withColumn("text", F.when(F.col("found").isNull(), F.col("text")).otherwise(text("text", "found")))
+    return out.select(F.col("row_kept").withField("text", F.col("text")).alias("row_kept")).select("row_kept.*")
