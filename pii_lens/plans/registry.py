@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import boxes as box_fn, text as text_fn
-from ..operators import boxes as box_op, detect as det, measure, track, words as word_op
+from ..operators import boxes as box_op, detect as det, lint, measure, pixels, track, words as word_op
+from ..operators.replies import parse_replies
 from ..sources import adapters
 from . import catalog, lexicon, oracle as sql
 from .catalog import named
@@ -489,3 +490,41 @@ def visual_survival(spark, sf):
 @query(f"SELECT element, count_if(state_after IS DISTINCT FROM 'readable') AS covered, count_if(state_after = 'readable') AS leaked FROM ({adapters.ELEMENTS}) AS e WHERE state_before = 'readable' GROUP BY element")
 def element_legibility(spark, sf):
     return measure.element_tally(adapters.made(spark, sf, adapters.ELEMENTS))
+
+
+# --- replies, documentation, pixels -----------------------------------------------------------------------------------
+
+_REPLIES = """SELECT p_partkey AS page_id, CAST(500 AS INT) AS page_w, CAST(700 AS INT) AS page_h, CASE WHEN p_partkey % 5 = 0 THEN 'I see nothing' ELSE
+    CASE WHEN p_partkey % 5 = 1 THEN '```json' || chr(10) ELSE 'Here: ' END || '{"items": [{"text": "x", "kind": "' || CASE WHEN p_partkey % 2 = 0 THEN 'Name' ELSE 'hat' END || '", "box": [' ||
+    CAST(p_partkey * 7 % 300 AS STRING) || ', ' || CAST(p_partkey * 11 % 400 AS STRING) || ', ' || CAST(p_size * 6 AS STRING) || ', ' || CAST(CASE WHEN p_partkey % 3 = 0 THEN 900 ELSE p_size * 5 END AS STRING) || ']}]}' ||
+    CASE WHEN p_partkey % 5 = 1 THEN chr(10) || '```' ELSE '' END END AS content FROM part"""
+
+
+@query(f"""WITH r AS (SELECT page_id, page_w, page_h, regexp_extract(content, '(?s)\\{{.*\\}}') AS body FROM ({_REPLIES}) AS x),
+    b AS (SELECT page_id, page_w, page_h, json_extract_string(body, '$.items[0].kind') AS kind, list_transform([0, 1, 2, 3], lambda k: CAST(json_extract(body, '$.items[0].box[' || k || ']') AS DOUBLE)) AS v FROM r WHERE body <> ''),
+    s AS (SELECT *, CASE WHEN list_max(v) <= 2 THEN 1.0 WHEN list_max(v) > 700 THEN 1000.0 END AS f FROM b),
+    p AS (SELECT page_id, page_w, page_h, kind, list_transform(v, lambda x, i: CASE WHEN f IS NULL THEN x ELSE x / f * CASE WHEN i % 2 = 1 THEN page_w ELSE page_h END END) AS v FROM s),
+    c AS (SELECT page_id, page_w, page_h, kind, CAST(trunc(least(v[1], v[3])) AS INT) AS x, CAST(trunc(least(v[2], v[4])) AS INT) AS y, CAST(trunc(abs(v[3] - v[1])) AS INT) AS w, CAST(trunc(abs(v[4] - v[2])) AS INT) AS h FROM p)
+    SELECT page_id, CASE lower(kind) WHEN 'name' THEN 'vlm_name' ELSE 'vlm_other' END AS label, least(x, page_w) AS "left", least(y, page_h) AS top, least(w, page_w - least(x, page_w)) AS width, least(h, page_h - least(y, page_h)) AS height, CAST(NULL AS VARCHAR) AS error
+    FROM c WHERE least(w, page_w - least(x, page_w)) > 0 AND least(h, page_h - least(y, page_h)) > 0
+    UNION ALL SELECT page_id, NULL, NULL, NULL, NULL, NULL, 'no JSON in reply' FROM r WHERE body = ''""")
+def vlm_reply_parse(spark, sf):
+    return parse_replies(adapters.made(spark, sf, _REPLIES))
+
+
+_PAGES = "SELECT p_partkey AS file, p_name || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN 'It was removed and is no longer here' WHEN p_partkey % 3 = 1 THEN '> it was removed' ELSE 'Built in 2021, originally' END || chr(10) || '```' || chr(10) || 'used to' || chr(10) || '```' AS text FROM part"
+
+
+@query(f"""WITH l AS (SELECT file, unnest(string_split(regexp_replace(text, '(?s)```.*?```', '', 'g'), chr(10))) AS body, generate_subscripts(string_split(regexp_replace(text, '(?s)```.*?```', '', 'g'), chr(10)), 1) AS line FROM ({_PAGES}) AS p)
+    SELECT file, CAST(line AS INTEGER) AS line, phrase FROM (SELECT file, line, unnest([{', '.join(f"regexp_extract(body, {sql.quoted('(?i)(' + p + ')')}, 1)" for p in lint.PAST)}]) AS phrase FROM l WHERE NOT starts_with(ltrim(body), '>')) AS x WHERE phrase <> ''""")
+def docs_lint(spark, sf):
+    return lint.tense(adapters.made(spark, sf, _PAGES))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS name, 'all' AS field, ceil(p_size * 3 / 3.0) / 64 AS coverage FROM part")
+def coverage_pixels(spark, sf):
+    part = adapters.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("name"), (F.col("p_size") * 3).alias("n"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"))
+    before = part.withColumn("data", F.encode(F.repeat(F.lit("A"), F.lit(192)), "UTF-8"))
+    after = part.withColumn("data", F.encode(F.concat(F.expr("repeat('z', n)"), F.expr("repeat('A', 192 - n)")), "UTF-8"))
+    boxes = part.select("name", F.lit("all").alias("field"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(8).alias("x1"), F.lit(8).alias("y1"))
+    return pixels.coverage(before, after, boxes)

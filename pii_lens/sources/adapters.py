@@ -76,6 +76,7 @@ def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def _bound(sql: str, tables: list[str]) -> str:
+    sql = sql.replace("{", "{{").replace("}", "}}")
     for t in tables:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return sql.replace('"left"', "`left`")
