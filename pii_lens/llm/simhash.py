@@ -65,12 +65,16 @@ def _steps_up(point: Column) -> Column:
     return F.transform(segments, lambda j: point + F.call_function("shiftleft", F.lit(1).cast("long"), 2 * j))
 
 
+def _cell(half: int):
+    """The number of a point's cell in the grid of a half."""
+    return lambda point: point * 2 + half
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs a, b of the distinct fingerprints ``fp`` that link, each once or twice."""
-    cell = lambda half, point: point * 2 + half
     points = [_point(F.col("fp"), h) for h in (0, 1)]
-    stands = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*(cell(h, p) for h, p in enumerate(points)))).alias("cell"))
-    looks = distinct.select(F.col("fp").alias("b"), F.explode(F.concat(*(F.transform(F.concat(F.array(p), _steps_up(p)), lambda x, h=h: cell(h, x)) for h, p in enumerate(points)))).alias("cell"))
+    stands = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*(_cell(h)(p) for h, p in enumerate(points)))).alias("cell"))
+    looks = distinct.select(F.col("fp").alias("b"), F.explode(F.concat(*(F.transform(F.concat(F.array(p), _steps_up(p)), _cell(h)) for h, p in enumerate(points)))).alias("cell"))
     met = stands.join(looks, (stands["cell"] == looks["cell"]) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
     return met.select("a", "b")
 
