@@ -93,7 +93,7 @@ def packed(docs: DataFrame, pack: Pack) -> DataFrame:
     found = found.withColumn("pack_group", F.pmod(F.xxhash64("piece", F.lit(pack.seed)), F.lit(groups)))
     most = pack.length
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("piece", ignore_index=True)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), most)
         return rows.assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)[NAMES]

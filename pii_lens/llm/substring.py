@@ -262,7 +262,7 @@ def _with_masks(docs: DataFrame) -> DataFrame:
 def kept_words(text: str | None, found: list | None) -> tuple[list[str], list[str]]:
     """The words of a text, and those in no repeated window."""
     words = [w.decode() for w in (text or "").encode().split()]
-    if not found:
+    if found is None or not len(found):
         return words, words
     edge = np.zeros(len(words) + 1, np.int64)
     for f in found:

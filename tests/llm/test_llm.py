@@ -1,0 +1,455 @@
+"""Every operator against a brute-force version on small tables with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pii_lens.llm import fm_index, langid, mixing, packing, quality, queries, secrets, simhash, substring, token_store, topk, warc
+from pii_lens.llm.encoding import encoder
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i % 9973}" for i in range(60_000))
+PASSAGE = " ".join(f"p{i}" for i in range(60))
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def mixed_texts():
+    rng = np.random.default_rng(0)
+    vocab = [f"v{i}é" if i % 7 == 0 else f"v{i}" for i in range(500)]
+    some = [" ".join(rng.choice(vocab, n)) for n in (1, 2, 3, 34, 35, 36, 80, 200)]
+    return [None, "", " \n\t ", *some, some[-1], some[-1], f"a b {PASSAGE} c", f"x {PASSAGE}", f"{PASSAGE} y z", PASSAGE[:-1], "é" * 40, LONG, " ".join(["same"] * 90), f"  lead\x0b{some[5]}\r\n", "tie d w\x85ord"]
+
+
+def rows(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()), key=repr)
+
+
+# --- 1 ----------------------------------------------------------------------------------------------------------------
+
+
+def brute_repeats(texts):
+    split = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    out = []
+    for w in split:
+        gone = [False] * len(w)
+        for i in range(len(w) - 34):
+            if seen[tuple(w[i : i + 35])] > 1:
+                gone[i : i + 35] = [True] * 35
+        kept = [x for x, g in zip(w, gone) if not g]
+        out.append((len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return out
+
+
+def test_substring_digests(docs):
+    texts = mixed_texts()
+    want = sorted(((i, *b) for i, b in enumerate(brute_repeats(texts))), key=repr)
+    assert rows(substring.digests(docs(texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+def test_substring_repeated_rows_null_ids_and_columns(docs):
+    table = [(1, PASSAGE), (1, PASSAGE), (None, f"z {PASSAGE}"), (None, "short"), (2, " ".join(f"u{i}" for i in range(50)))]
+    want = sorted(((i, *b) for (i, _), b in zip(table, brute_repeats([t for _, t in table]))), key=repr)
+    assert rows(substring.digests(docs(table)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    clean = substring.cleaned(docs(table))
+    assert clean.columns == docs(table).columns and sorted(r["text"] for r in clean.collect())[:2] == ["", ""]
+    assert substring.digests(docs([])).count() == 0
+
+
+def test_fm_index_counts():
+    rng = np.random.default_rng(1)
+    pieces = [rng.integers(1, 4, n) for n in (50, 40, 60, 9)]
+    index = fm_index.FMIndex(pieces, [1, 1, 1, 1], 8)
+    text = np.concatenate([x for p in pieces for x in (p, [0])])
+    ends = np.arange(1, len(text) + 1)
+    got = index.matching(text, ends)
+    grams = {n: Counter(tuple(p[i : i + n]) for p in pieces for i in range(len(p) - n + 1)) for n in range(1, 9)}
+    for e, g in zip(ends, got):
+        want = 0
+        for n in range(1, 9):
+            part = tuple(text[max(0, e - n) : e])
+            if len(part) == n and grams[n][part] >= 2:
+                want = n
+        assert g == want
+    assert substring.report([" ".join(map(str, p)) for p in (range(40), range(5, 45))], [1, 1]) == [0b100000, 0b1]
+
+
+# --- 2 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_language(docs):
+    rng = np.random.default_rng(2)
+    kinds = {"aa": "ba be bi bo".split(), "bb": "ka ke ki ko".split()}
+    make = lambda lang: " ".join("".join(rng.choice(kinds[lang], rng.integers(1, 4))) for _ in range(12))
+    table = [(i, make("aa" if i % 2 else "bb"), "aa" if i % 2 else "bb", "s", 1) for i in range(120)]
+    odd = [(900, None, "aa", "s", 1), (901, "", "aa", None, 1), (902, "12 34 --", "bb", "s", 1), (903, make("aa"), None, "s", 1), (None, make("bb"), "bb", "s", 1)]
+    df = docs(table + odd + table[:1])
+    out = langid.predict(df, langid.train(df))
+    got = [r for r in out.collect()]
+    truth = {i: lang for i, _, lang, _, _ in table}
+    assert len(got) == 126
+    for r in got:
+        assert 0 <= r["score"] <= 1
+        if r["doc_id"] in truth:
+            assert r["lang_pred"] == truth[r["doc_id"]]
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+    assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] in (900, 901, 902)} == {900: "und", 901: "und", 902: "und"}
+    assert {r["lang_pred"] for r in langid.predict(docs(["some text"]), langid.train(docs([]))).collect()} == {"und"}
+    assert langid.predict(docs([]), langid.train(df)).count() == 0
+    kept = langid.keep_known(df)
+    assert kept.columns == df.columns and kept.count() == 123
+
+
+# --- 3 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_packing(docs):
+    texts = [t for t in mixed_texts()]
+    spec = packing.Pack(queries.tokenizer("word_bpe_49k.json"), group=16)
+    df = docs(texts + texts[3:5])
+    out = packing.packed(df, spec).collect()
+    enc = encoder(spec.tokenizer)
+    docs_ids = [np.frombuffer(enc.ids(t or "") + np.uint32(1).tobytes(), "<u4") for t in texts]
+    again = Counter({i: 1 for i in range(len(texts))})
+    by = {}
+    for r in out:
+        ids = docs_ids[r["doc_id"]] if r["doc_id"] < len(texts) else docs_ids[r["doc_id"] - len(texts) + 3]
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sum(r["length"] for r in out) == sum(map(len, docs_ids)) + sum(len(docs_ids[i]) for i in (3, 4)) and again
+    assert packing.packed(docs([]), spec).count() == 0
+
+
+def test_first_fit_decreasing_is_that():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 101, 300)
+    bins, offsets = packing.first_fit_decreasing(sizes, 100)
+    room, want = [], {}
+    for i in np.argsort(-sizes, kind="stable"):
+        k = next((k for k, free in enumerate(room) if free >= sizes[i]), len(room))
+        room += [100] * (k == len(room))
+        want[int(i)] = (k, 100 - room[k])
+        room[k] -= int(sizes[i])
+    assert {i: (int(b), int(o)) for i, (b, o) in enumerate(zip(bins, offsets))} == want
+
+
+# --- 4 ----------------------------------------------------------------------------------------------------------------
+
+DER = bytes.fromhex("3030" + "020100" + "0210" + "11" * 16 + "0403" + "aabbcc" + "0401" + "00" + "0605" + "2a03040506" + "0500")
+
+
+def test_secret_spans_and_structure(docs):
+    import base64
+    import json as js
+
+    b64 = lambda raw: base64.urlsafe_b64encode(raw).decode().rstrip("=")
+    jwt = f"{b64(js.dumps({'alg': 'HS256'}).encode())}.{b64(js.dumps({'sub': '1'}).encode())}.c2ln"
+    der = bytes([0x30, 0x2A]) + bytes([2, 1, 0]) + bytes([2, 0x20]) + b"\x11" * 32 + bytes([5, 0]) + bytes([2, 1, 7])
+    assert secrets.is_der_key(der) and not secrets.is_der_key(der[:-1]) and not secrets.is_der_key(der + b"0")
+    ssh = b"".join(len(p).to_bytes(4, "big") + p for p in (b"ssh-ed25519", b"k" * 32))
+    assert secrets.is_ssh_key(ssh) and not secrets.is_ssh_key(ssh[:-1])
+    key = base64.b64encode(der).decode()
+    pem = f"-----BEGIN PRIVATE KEY-----\n{key}\n-----END PRIVATE KEY-----"
+    text = f"PassWord: hunter22 api_key='abc' AKIA{'Z' * 12} AKIA9 {'a1' * 16} {jwt} {pem} {base64.b64encode(ssh).decode()} {'A' * 44}"
+    kinds = Counter(k for k, _, _ in secrets.spans(text))
+    assert kinds == {"assign": 1, "access": 1, "hex": 1, "jwt": 1, "pem": 1, "ssh": 1}
+    for kind, a, b in secrets.spans("é😀 " + text):
+        assert ("é😀 " + text)[a:b] == text[a - 3 : b - 3]
+    got = {r["doc_id"]: r for r in secrets.scan(docs([text, None, "", "ſecret=12345678 toKen = abcdefgh"])).collect()}
+    assert (got[0]["n_assign"], got[0]["n_access"], got[0]["n_hex"]) == (1, 1, 1)
+    base = ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.spans(text) if k in ("assign", "access", "hex"))
+    assert got[0]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert got[1]["spans"] == "" and got[2]["n_hex"] == 0 and got[3]["n_assign"] == 1
+    assert secrets.scan(docs([])).count() == 0
+    masked = {r["doc_id"]: r for r in secrets.mask(docs([text, None, "clean"])).collect()}
+    assert "hunter22" not in masked[0]["text"] and masked[0]["n_chars"] == len(masked[0]["text"])
+    assert masked[1]["text"] is None and masked[2]["text"] == "clean"
+
+
+# --- 5 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_token_store(docs, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = [*mixed_texts(), "a  b\n\n c", "it's\tx y\n", "tail ", "\nhead"]
+    table = [(i * 7 % 31 - 5 if i else None, t) for i, t in enumerate(texts)]
+    out = [tuple(r) for r in token_store.round_trip(docs(table), token_store.Store(path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    start, want = 0, []
+    for doc_id, text in sorted(table, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(out, key=repr) == sorted(want, key=repr)
+    assert token_store.round_trip(docs([]), token_store.Store(path)).count() == 0
+    again = token_store.round_trip(docs([(4, "x y"), (4, "x y"), (4, "z")]), token_store.Store(path)).collect()
+    assert sorted(r["start"] for r in again)[0] == 0 and len(again) == 3
+
+
+def test_chunks_are_stored_once_and_damage_is_found(docs, spark, tmp_path):
+    store, path = token_store.Store(queries.tokenizer("byte_bpe_50k.json")), f"file://{tmp_path}/s"
+    token_store.write(docs([LONG, LONG, LONG[5:]]), path, store)
+    chunks = spark.read.parquet(f"{path}/chunks").where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("digest").distinct().count() > 10
+    refs = spark.read.parquet(f"{path}/chunks").where("kind = 'ref'")
+    assert refs.count() > 2 * chunks.count()
+    bad = chunks.withColumn("ids", F.when(F.col("digest") == chunks.agg(F.min("digest")).first()[0], F.reverse(F.hex("ids")).cast("binary")).otherwise(F.col("ids"))).drop("kind")
+    bad.coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    import shutil
+
+    shutil.rmtree(tmp_path / "s/chunks/kind=chunk")
+    shutil.copytree(tmp_path / "t", tmp_path / "s/chunks/kind=chunk")
+    with pytest.raises(Exception, match="other ids"):
+        token_store.read(spark, path).collect()
+
+
+def test_checksums_combine():
+    rng = np.random.default_rng(4)
+    parts = [rng.bytes(int(n)) for n in (0, 1, 7, 4000)]
+    after = [sum(map(len, parts[i + 1 :])) for i in range(4)]
+    got = np.bitwise_xor.reduce(token_store.shifted(np.array([zlib.crc32(p) for p in parts], np.uint64), np.array(after)))
+    assert int(got) == zlib.crc32(b"".join(parts))
+
+
+# --- 6 ----------------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    import xxhash
+
+    shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    votes = [sum(xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1 for s in shingles) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * votes[b] > len(shingles))
+
+
+def brute_components(ids, prints):
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, x in enumerate(ids):
+        if x is not None:
+            least[find(i)] = min(least.get(find(i), x), x)
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def test_simhash(docs):
+    base = " ".join(f"n{i}" for i in range(300))
+    near = [base.replace(f"n{k} ", f"m{k} ") for k in range(0, 60, 3)]
+    texts = [t for t in mixed_texts() if t is None or len(t) < 5000] + near + [base, base.upper()]
+    ids = [None if i == 4 else 100 - i for i in range(len(texts))]
+    out = simhash.near_duplicates(docs(list(zip(ids, texts)) + [(100, None)]))
+    prints = [brute_fingerprint(t) for t in texts] + [0]
+    want = sorted(zip(ids + [100], [np.uint64(p).astype(np.int64).item() for p in prints], brute_components(ids + [100], prints)), key=repr)
+    assert rows(out, "doc_id", "fp", "component_id") == want
+    kept = simhash.keep_first(docs(list(zip(ids, texts)) + [(100, None)]))
+    assert kept.count() == len({c for _, _, c in want}) and kept.columns == docs([]).columns
+    assert simhash.near_duplicates(docs([])).count() == 0
+
+
+def test_links_find_every_near_pair(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    flips = [b ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for b in base for k in (1, 2, 3, 4)]
+    fps = np.unique(np.concatenate([base, np.array(flips, np.uint64)])).view(np.int64).tolist()
+    got = {frozenset(r) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    want = {frozenset((a, b)) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+    assert got == want and len(want) > 100
+
+
+# --- 7 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_warc(spark):
+    big, tiny = "é<p>\r\n\r\nWARC/1.1\r\n" + "x" * 1000, "y" * 999
+    table = [(1, "http://www.b.com/a?q=1", big), (2, "http://b.com/a", big), (5, None, big), (3, "https://A.com:8080/", tiny), (4, "u", tiny), (6, "http://[bad", None), (None, "http://c.de", ""), (7, "http://b.com/a", big + "z"), (7, "http://b.com/a", big + "z"), (8, "a\r\nb", big[::-1])]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string").withColumn("kept", F.lit("clash")).withColumn("digest", F.lit(1))
+    got = warc.round_trip(pages)
+    most = {}
+    for p, _, h in table:
+        if len((h or "").encode()) >= 1000:
+            most[h] = max(most.get(h, -1), p)
+    want = [(p, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), *(("revisit", most[h]) if h in most and most[h] != p else ("response", None))) for p, _, h in table]
+    assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+    assert warc.url_key("http://www.b.com/a?q=1") == "com,b)/a?q=1"
+
+
+def test_loser_tree_merges():
+    rng = np.random.default_rng(7)
+    for k in (0, 1, 2, 3, 5, 8, 13):
+        runs = [sorted(rng.integers(0, 50, rng.integers(0, 30)).tolist()) for _ in range(k)]
+        assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
+
+
+# --- 8 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_targets():
+    assert mixing.targets([100, 100], [5, 2], 3) == [pytest.approx(200 * 5 / 7), pytest.approx(200 * 2 / 7)]
+    assert mixing.targets([10, 100, 100], [5, 2, 1], 3)[0] == 30
+    assert mixing.targets([0, 8], [5, 2], 3) == [0, 8] and mixing.targets([], [], 3) == []
+
+
+def test_split_tree_is_exact():
+    rng = np.random.default_rng(8)
+    quotas = np.array([100, 3, 0, 57])
+    got = mixing.split_tree(quotas, 7, rng)
+    assert (got.sum(0) == quotas).all() and got.sum(1).max() - got.sum(1).min() <= 3 and (got >= 0).all()
+
+
+def test_mixing(docs):
+    rng = np.random.default_rng(9)
+    table = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "en", "abc"[i % 3] if i % 10 else None, 1) for i in range(600)]
+    table += [(600, None, "en", "a", 1), (601, "", "en", None, 1), (5, table[5][1], "en", table[5][3], 1)] + [(700 + i, "x y", "en", "tiny", 1) for i in range(3)]
+    mix = mixing.Mix(block_words=200, shards=5)
+    out = mixing.mixed_sizes(docs(table), mix).collect()
+    assert len(out) == len(table)
+    source = {i: s for i, _, _, s, _ in table}
+    sizes, taken, goal = Counter(), Counter(), {}
+    for r in out:
+        assert r["size"] == len(words(next(t for i, t, *_ in table if i == r["doc_id"]))) and 0 <= r["taken"] <= 3 * r["size"]
+        s = source[r["doc_id"]]
+        sizes[s] += r["size"]
+        taken[s] += r["taken"]
+        goal[s] = r["target"]
+    order = ["a", "b", "c", "tiny", None]
+    assert [goal[s] for s in order] == pytest.approx(mixing.targets([sizes[s] for s in order], [5, 2, 1, 5, 2], 3))
+    for s in order:
+        assert abs(taken[s] - goal[s]) <= 1
+    again = mixing.mixed_sizes(docs(table), mix).collect()
+    assert sorted(map(tuple, ((r["doc_id"], r["taken"]) for r in again)), key=repr) == sorted(((r["doc_id"], r["taken"]) for r in out), key=repr)
+    real = mixing.mixed(docs(table), mix)
+    assert real.columns == docs(table).columns
+    got = Counter()
+    for r in real.collect():
+        got[r["source"]] += len(words(r["text"]))
+    assert got == Counter({s: n for s, n in taken.items() if n})
+    assert mixing.mixed_sizes(docs([]), mix).count() == 0 and mixing.mixed(docs([]), mix).count() == 0
+
+
+# --- 9 ----------------------------------------------------------------------------------------------------------------
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(10)
+    vecs = [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    vecs += [(401, vecs[7][1]), (402, vecs[7][1]), (500, None), (501, [None] * 8), (600, [float("nan")] * 8), (700, [float("inf")] * 8), (None, vecs[0][1]), (7, vecs[7][1])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("q", F.lit(2))
+    ok = [(i, np.floor(1024.0 * np.array(v, np.float64)).astype(np.int64)) for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    for spec in (topk.Search(every=100), topk.Search(every=10, block=13, sample=30, k=5)):
+        want = []
+        for i, q in ok:
+            if i % spec.every == 0:
+                best = sorted((-int(q @ x), j) for j, x in ok if j != i)[: spec.k]
+                want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        assert sorted(map(tuple, topk.search(df, spec).collect())) == sorted(want)
+    assert topk.search(df.limit(0)).count() == 0
+    assert topk.search(df.where("vec_id in (100, 101, 102)")).count() == 2
+
+
+# --- 10 ---------------------------------------------------------------------------------------------------------------
+
+
+def brute_base(text):
+    text = text or ""
+    w = words(text)
+    seen, repeats = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7)), set()
+    for i in range(len(w) - 7):
+        if seen[tuple(w[i : i + 8])] > 1:
+            repeats |= set(range(i, i + 8))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return [len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeats)]
+
+
+def test_quality(docs, spark):
+    texts = mixed_texts() + ["a b\nc\n\na b\n \na b\n", "# * $ % & | < >", ("one two three four five six seven eight " * 3).strip()]
+    for t in texts:
+        assert quality.base(t)[1] == brute_base(t), t and t[:40]
+    rng = np.random.default_rng(11)
+    good = [" ".join(f"w{x}" for x in rng.integers(0, 900, 60)) for _ in range(60)]
+    bad = [" ".join(f"w{x}$$$" for x in rng.integers(0, 900, 60)) for _ in range(60)]
+    table = docs(list(enumerate(texts + good + bad)))
+    n = len(texts)
+    labels = spark.createDataFrame([(n + i, int(i < 60)) for i in range(120)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in quality.judge(table, quality.train(table, labels)).collect()}
+    assert all(out[n + i]["kept"] == (i < 60) for i in range(120))
+    assert not out[0]["kept"] and out[0]["base_failed"] and len(out) == n + 120
+    only = quality.train(table, labels.where("quality = 1"))
+    assert all(r["kept"] != r["base_failed"] for r in quality.judge(table, only).collect())
+    assert quality.judge(docs([]), only).count() == 0
+
+
+def test_constraints_hold_in_the_trees():
+    rng = np.random.default_rng(12)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] + 0.3 * np.sin(12 * x[:, 1]) + 0.2 * rng.random(800)) < 0.6).astype(float)
+    forest = quality.boost(x, y, quality.Fit(trees=30), np.array([-1, 0, 0]))
+    base = rng.random((200, 3))
+    before = forest.scores(base)
+    for step in (0.1, 0.3, 0.8):
+        more = base.copy()
+        more[:, 0] += step
+        assert (forest.scores(more) <= before + 1e-12).all()
+    assert ((forest.scores(x) > 0.5) == (y > 0.5)).mean() > 0.9
+
+
+# --- encoder and queries ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_gives_the_library_ids(name):
+    enc = encoder(queries.tokenizer(name))
+    odd = ["", " ", "\n", "a  b", "it's I'LL don't", "a\tb", "a\n\nb ", "Üñï cö́d́ 12ab", "x y z", "<|endoftext|> a", "ΟΔΟΣ. Σ", "a" * 400, "foo_bar!! ok,", "a  b"]
+    for text in odd + [t for t in mixed_texts() if t]:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text[:30]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(name, same):
+    same(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_pipeline(docs, spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    assert [n for n, _ in cp.STAGES] == ["language", "near_duplicates", "secrets", "mix", "pack"]
+    words_ = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rng = np.random.default_rng(13)
+    table = [(i, " ".join(rng.choice(words_, 30)) + f" u{i}", "en", f"s{i % 2}", 0) for i in range(40)]
+    table += [(100, table[0][1], "en", "s0", 0), (101, "1 2 3", "en", "s0", 0), (102, None, "en", None, 0), (103, "password = abcdefgh12 " + table[3][1][:60], "en", "s1", 0)]
+    df, held = docs(table, extra=False), []
+    for name, stage in cp.STAGES[:-1]:
+        df = cp.common.written(stage(spark, df, ""), f"test-{name}")
+        assert df.columns == docs(table, extra=False).columns
+        held.append({r["doc_id"] for r in df.collect()})
+    assert 101 not in held[0] and 102 not in held[0] and 100 in held[0] and 100 not in held[1] and 0 in held[1]
+    assert held[2] == held[1] and not any("abcdefgh12" in r["text"] for r in df.collect())
+    assert cp.STAGES[-1][1](spark, df, "").agg(F.countDistinct("doc_id")).first()[0] == len(held[3])
