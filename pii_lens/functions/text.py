@@ -43,16 +43,11 @@ def luhn_ok(value: Column, length: int | None = None) -> Column:
 def verhoeff_ok(value: Column, length: int | None = None) -> Column:
     """Verhoeff's check: permute each digit by its place from the right, multiply up in the dihedral group."""
     d = digits(value)
-    table = F.array(*(F.array(*(F.lit(x) for x in row)) for row in lexicon.VERHOEFF_PRODUCT))
-    turn = F.array(*(F.array(*(F.lit(x) for x in row)) for row in lexicon.VERHOEFF_TURN))
-    at = F.sequence(F.lit(0), F.length(d) - 1)
-
-    def step(c, i):
-        digit = F.substring(d, F.length(d) - i, 1).cast("int")
-        return F.element_at(F.element_at(table, c + 1), F.element_at(F.element_at(turn, i % 8 + 1), digit + 1) + 1)
-
-    ok = (F.length(d) > 0) & (F.aggregate(at, F.lit(0), step) == 0)
-    return ok if length is None else (F.length(d) == length) & F.when(F.length(d) == length, ok).otherwise(False)
+    table = F.array(*(F.lit(x) for row in lexicon.VERHOEFF_PRODUCT for x in row))
+    turn = F.array(*(F.lit(x) for row in lexicon.VERHOEFF_TURN for x in row))
+    turned = F.transform(F.filter(F.split(F.reverse(d), ""), lambda x: x != ""), lambda x, i: F.get(turn, i % 8 * 10 + x.cast("int")))
+    ok = F.aggregate(turned, F.lit(0), lambda c, x: F.get(table, c * 10 + x)) == 0
+    return F.when(F.length(d) == length, ok).otherwise(False) if length else F.when(F.length(d) > 0, ok).otherwise(False)
 
 
 # --- labels -----------------------------------------------------------------------------------------------------------

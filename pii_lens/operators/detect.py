@@ -30,10 +30,7 @@ def context_found(text: Column, start: Column, words: tuple[str, ...]) -> Column
     found = F.regexp_extract_all(near, F.lit("[a-z0-9]+"), F.lit(0))
     last = F.slice(found, F.greatest(F.size(found) - (catalog.CONTEXT_WORDS - 1), F.lit(1)), F.lit(catalog.CONTEXT_WORDS))
     line = F.concat(F.lit(" "), F.array_join(last, " "), F.lit(" "))
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(line, F.lit(f" {w} "))
-    return hit
+    return line.rlike(" (?:" + "|".join(words) + ") ")
 
 
 def _tagged(kind: int, score: float):
