@@ -18,8 +18,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,8 +28,8 @@ from .common import arrow_rows, prepare
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Word scores that a worker keeps for unseen words, and words of a text over which its certainty is counted.
-CACHE, SURE_WORDS = 200_000, 20
+#: Unseen words that a worker keeps scores of, and words of a text over which its certainty is counted.
+CACHE, SURE_WORDS = 500_000, 20
 
 
 @dataclass(frozen=True)
@@ -52,51 +52,75 @@ def grams_of(word: str, order: int) -> list[str]:
 
 @dataclass
 class Model:
+    """Rows of log frequencies by language: ``table`` for words, ``gram_table`` for n-grams of all orders."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # longest order first
+    words: dict[str, int]
+    table: np.ndarray
+    grams: list[dict[str, int]]  # by order, longest first, each order one less than the last
+    gram_table: np.ndarray
     orders: tuple[int, ...]
     floor: np.ndarray
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
 
     def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the word's n-grams, each at the longest order at which it is known."""
-        if (got := self.cache.get(word)) is not None:
-            return got
-        # A gram of the longest order that is unknown gives way to the two shorter ones in it, and so on down.
-        total, n, todo = np.zeros(len(self.langs)), 0, [(g, 0) for g in grams_of(word, min(self.orders[0], len(word) + 2))]
-        depth_of = {o: k for k, o in enumerate(self.orders)}
-        todo = [(g, depth_of.get(len(g), len(self.orders) - 1)) for g, _ in todo]
-        seen: set[str] = set()
-        while todo:
-            gram, k = todo.pop()
-            if gram in seen:
-                continue
-            seen.add(gram)
-            if (v := self.grams[k].get(gram)) is not None:
-                total, n = total + v, n + 1
-            elif len(gram) > 1 and k + 1 < len(self.orders):
-                short = self.orders[k + 1]
-                todo += ((gram[i : i + short], k + 1) for i in range(len(gram) - short + 1))
-        out = total / n if n else self.floor
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[word] = out
-        return out
+        """Mean log frequency of the word's n-grams. One that is unknown gives way to the two shorter ones in it, and so on down."""
+        padded, found = f"<{word}>", []
+        first = next(k for k, o in enumerate(self.orders) if o <= len(padded))
+        starts = set(range(len(padded) - self.orders[first] + 1))
+        for known, order in zip(self.grams[first:], self.orders[first:]):
+            shorter: set[int] = set()
+            for at in starts:
+                if (row := known.get(padded[at : at + order])) is not None:
+                    found.append(row)
+                else:
+                    shorter.add(at)
+                    shorter.add(at + 1)
+            if not shorter:
+                break
+            starts = shorter
+        return self.gram_table[found].mean(0) if found else self.floor
+
+    @cached_property
+    def rows(self) -> Rows:
+        return Rows(self)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text) if text else []
-        if not found or not self.langs or not (any(map(str.isalpha, found)) or any(map(str.isalpha, "".join(found)))):
+        found = words_of(text) if text and self.langs else []
+        if not found or not any(c.isalpha() for w in found for c in w):
             return UNKNOWN, 0.0
         counts = Counter(found)
-        get, unseen = self.words.get, self.unseen
-        rows = [v if (v := get(w)) is not None else unseen(w) for w in counts]
-        sums = np.fromiter(counts.values(), np.float64, len(counts)) @ np.array(rows)
+        self.rows.make_room(len(counts))
+        at = list(map(self.rows.__getitem__, counts))
+        sums = np.fromiter(counts.values(), np.float64, len(counts)) @ self.rows.table[at]
         best = int(np.argmax(sums))
         mean = (sums - sums[best]) / len(found) * min(len(found), SURE_WORDS)
         return self.langs[best], float(1 / np.exp(mean).sum())
 
 
+class Rows(dict):
+    """From a word to its row, in a worker: known words first, then unseen ones, as many as there is room for."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.words)
+        self.model, self.next = model, len(model.words)
+        self.table = np.vstack([model.table, np.zeros((CACHE, len(model.langs)))])
+
+    def make_room(self, n: int) -> None:
+        """Room for ``n`` words; unseen ones start anew where there is none."""
+        if self.next + n > len(self.table):
+            self.clear()
+            self.update(self.model.words)
+            self.next = len(self.model.words)
+            if self.next + n > len(self.table):
+                self.table = np.vstack([self.table, np.zeros((n, self.table.shape[1]))])
+
+    def __missing__(self, word: str) -> int:
+        self.table[self.next] = self.model.unseen(word)
+        self[word] = self.next
+        self.next += 1
+        return self.next - 1
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -138,20 +162,25 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
         if running[key] <= (fit.grams if r["kind"] else fit.words):
             keep[key] = r["n"]
     if not keep:
-        return Model([], {}, [{} for _ in orders], orders, np.zeros(0))
+        return Model([], {}, np.zeros((0, 0)), [{} for _ in orders], np.zeros((0, 0)), orders, np.zeros(0))
     bounds = docs.sparkSession.createDataFrame([(a, b, n) for (a, b), n in keep.items()], "lang string, kind int, least long")
     chosen = counts.join(F.broadcast(bounds), ["lang", "kind"]).where("n >= least").drop("least").toPandas()
     langs = sorted({a for a, _ in keep})
     at = {lang: i for i, lang in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = []
+    tables: list[tuple[dict[str, int], np.ndarray]] = []
     for kind in (0, *orders):
-        raw: dict[str, np.ndarray] = {}
         part = chosen[chosen["kind"] == kind]
-        for lang, item, n in zip(part["lang"], part["item"], part["n"]):
-            raw.setdefault(item, np.zeros(len(langs)))[at[lang]] = n
-        size = np.array([totals[lang, kind] + 0.5 * max(1, len(raw)) for lang in langs])
-        tables.append({item: np.log((v + 0.5) / size) for item, v in raw.items()})
-    return Model(langs, tables[0], tables[1:], orders, np.full(len(langs), -12.0))
+        number: dict[str, int] = {}
+        rows = [number.setdefault(item, len(number)) for item in part["item"]]
+        raw = np.zeros((len(number), len(langs)))
+        raw[rows, [at[lang] for lang in part["lang"]]] = part["n"]
+        size = np.array([totals[lang, kind] + 0.5 * max(1, len(number)) for lang in langs])
+        tables.append((number, np.log((raw + 0.5) / size)))
+    grams, start = [], 0
+    for number, _ in tables[1:]:
+        grams.append({item: row + start for item, row in number.items()})
+        start += len(number)
+    return Model(langs, *tables[0], grams, np.vstack([t for _, t in tables[1:]]), orders, np.full(len(langs), -12.0))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
