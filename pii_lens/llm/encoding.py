@@ -2,7 +2,7 @@
 
 A text is cut at single spaces and line feeds, which are borders of the tokenizer's own pre-tokens, and the ids of each
 part are kept in a bounded cache. Parts of plain letters go straight to the library's BPE model; all others, and texts
-whose white space is not plain, go through the library whole. Tests hold the ids against the library's.
+with a part that ends in white space, go through the library whole. Tests hold the ids against the library's.
 """
 
 from __future__ import annotations
@@ -15,10 +15,9 @@ from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Parts kept by a worker; when there are more, the cache starts anew.
-CACHE = 500_000
+#: Parts kept by a worker, and the longest one that is; when there are more, the cache starts anew.
+CACHE, LONGEST = 1_000_000, 100
 
-ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -32,48 +31,63 @@ def _byte_chars() -> list[str]:
 BYTE_CHARS = _byte_chars()
 
 
+class OddSpace(Exception):
+    """White space that can't be told apart part by part."""
+
+
 class Parts(dict):
     """From a part of a text to its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, tokenizer, before: str = "", lower: bool = False):
         self.tokenizer, self.model, self.before, self.lower = tokenizer, tokenizer.model, before, lower
+        self.byte_before = "".join(BYTE_CHARS[b] for b in before.encode())
+        self.after = self
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, part: str) -> bytes:
+    def letters(self, word: str) -> bytes:
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join([BYTE_CHARS[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(self.byte_before + word)]).tobytes()
+
+    def odd(self, part: str) -> bytes:
         m = LETTERS.fullmatch(part)
-        if m is None or (not m[2] and len(part) > 200):
-            ids = self.encoded(self.before + part) if part else b""
-        elif m[2]:
-            ids = self[m[1]] + self.after[m[2]]
-        elif self.lower and (small := part.lower()) != part:
-            ids = self[small]
-        else:
-            word = self.before + part
-            ids = array("I", [t.id for t in self.model.tokenize("".join(map(BYTE_CHARS.__getitem__, word.encode())))]).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[part] = ids
-        return ids
+        if m is None:
+            return self.encoded(self.before + part) if part else b""
+        return self[m[1]] + self.after[m[2]] if m[2] else self.letters(part)
 
-    @property
-    def after(self) -> Parts:
-        """What follows letters has no space before it."""
-        return self
+    def __missing__(self, part: str) -> bytes:
+        ids = self.letters(part) if part.isascii() and part.isalpha() else self.odd(part)
+        if len(part) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[part] = ids
+        return ids
 
 
 class Spaced(Parts):
+    """Parts after a space, or after the line feed that they begin with."""
+
     def __init__(self, tokenizer, plain: Parts):
         super().__init__(tokenizer, " ")
-        self.plain = plain
+        self.after, self.feed = plain, plain.encoded("\n")
 
-    @property
-    def after(self) -> Parts:
-        return self.plain
+    def odd(self, part: str) -> bytes:
+        if not part or part[-1].isspace():
+            raise OddSpace
+        if part[0] == "\n":
+            if part[1].isspace():
+                raise OddSpace
+            return self.feed + self.after[part[1:]]
+        return super().odd(part)
 
 
 class Encoder:
+    """``ids(text)`` as bytes, for a tokenizer file."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -83,12 +97,11 @@ class Encoder:
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = spec["pre_tokenizer"] or {}
         split = pre.get("pretokenizers", [{}])[0]
-        self.specials = tuple(x["content"] for x in spec["added_tokens"])
         self.plain = Parts(self.tokenizer, lower="Lowercase" in kinds)
         if kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert"):
             self.ids = self._words
         elif spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.spaced, self.feed = Spaced(self.tokenizer, self.plain), self.plain.encoded("\n")
+            self.spaced = Spaced(self.tokenizer, self.plain)
             self.ids = self._bytes
         else:
             self.ids = self.plain.encoded
@@ -97,15 +110,15 @@ class Encoder:
         return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _bytes(self, text: str) -> bytes:
-        if not text or ODD_SPACE.search(text):
-            return self.plain.encoded(text) if text else b""
-        out, plain, spaced = [], self.plain, self.spaced.__getitem__
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(plain[first])
-            out += map(spaced, rest)
-            out.append(self.feed)
-        return b"".join(out[:-1])
+        if not text:
+            return b""
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if not first or first[-1].isspace():
+            return self.plain.encoded(text)
+        try:
+            return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
+        except OddSpace:
+            return self.plain.encoded(text)
 
 
 @lru_cache(maxsize=2)
