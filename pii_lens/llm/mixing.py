@@ -29,7 +29,8 @@ class Mix:
     weights: tuple[int, ...] = (5, 2, 1)
     most_repeats: int = 3
     block_words: int = 1 << 15
-    shards: int = 16
+    shards: int = 16  # at least; a shard has about shard_words
+    shard_words: int = 1 << 21
     seed: int = 8
 
 
@@ -61,6 +62,11 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.vstack([split_tree(drawn, left, rng), split_tree(quotas - drawn, shards - left, rng)])
 
 
+def shard_count(words: int, mix: Mix) -> int:
+    """Shards of about as many words each, whatever the size of the mix; a shard takes 16 blocks at least of the most there are."""
+    return max(mix.shards, min(words // mix.shard_words, MAX_BLOCKS // 16))
+
+
 def size_of(text: str):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -113,10 +119,11 @@ def assign(rows: DataFrame, mix: Mix = Mix(), onto: DataFrame | None = None) ->
             order.append((passes[i], b))
             have += w
         drawn.append(order)
-    quotas = split_tree(np.array([len(x) for x in drawn], dtype=np.int64), mix.shards, rng) if drawn else np.zeros((mix.shards, 0), int)
+    shards = shard_count(sum(sizes), mix)
+    quotas = split_tree(np.array([len(x) for x in drawn], dtype=np.int64), shards, rng) if drawn else np.zeros((shards, 0), int)
     plan = []
     for i, order in enumerate(drawn):
-        shard_of = np.repeat(np.arange(mix.shards), quotas[:, i])
+        shard_of = np.repeat(np.arange(shards), quotas[:, i])
         by_block: dict[int, list] = {}
         for (p, b), shard in zip(order, shard_of):
             by_block.setdefault(b, []).append((p, int(shard), cut.get((i, p, b), -1)))
@@ -157,6 +164,6 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     # A cut document keeps its words and what stands between them.
     cut = F.array_join(F.slice(F.regexp_extract_all("row_of_mix.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("draw.words").cast("int")), "")
     text = F.when(F.col("draw.words") >= F.col("size"), F.col("row_of_mix.text")).otherwise(cut)
-    out = out.withColumn("row_of_mix", F.col("row_of_mix").withField("text", text)).repartition(mix.shards, F.col("draw.shard"))
+    out = out.withColumn("row_of_mix", F.col("row_of_mix").withField("text", text)).repartition(shard_count(rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], mix), F.col("draw.shard"))
     out = out.sortWithinPartitions(F.col("draw.shard"), F.xxhash64("doc_id", "row_of_mix.text", "draw.pass", F.lit(mix.seed)))
     return out.select("row_of_mix.*")
