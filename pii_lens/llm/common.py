@@ -50,6 +50,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` has made, once nothing reads them any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def arrow_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """``fn(columns as lists) -> columns as lists`` over every Arrow batch of ``df``."""
     from pyspark.sql.types import StructType

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_rows, prepare, written
+from .common import arrow_rows, dropped, prepare, written
 from .fm_index import FMIndex
 
 WINDOW, GRAM = 35, 8
@@ -128,10 +128,10 @@ def _refs(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, _REFS)
 
 
-def _content(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The words and window hashes of stretches of ``wanted``, each from the document that stands for it."""
-    lists = written(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "stretch", "n", "first", "windows")).alias("wanted")), "wanted")
-    lists = lists.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "wanted")
+def _content(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The words and window hashes of stretches of ``wanted``, each from the document that stands for it; and a table to drop after."""
+    table = written(wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("anchor", "stretch", "n", "first", "windows")).alias("wanted")), "wanted")
+    lists = table.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), "wanted")
     texts = _keyed(docs)
     found = texts.join(lists, texts["doc_id"].eqNullSafe(lists["its_id"]) & (texts["text_hash"] == lists["its_hash"])).select("text", "wanted")
 
@@ -148,7 +148,7 @@ def _content(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return out
 
     # Rows alike in id and text give the same content; one of them is enough.
-    return arrow_rows(found, run, "anchor long, stretch long, n long, content string, hashes array<long>").dropDuplicates(["anchor", "stretch"])
+    return arrow_rows(found, run, "anchor long, stretch long, n long, content string, hashes array<long>").dropDuplicates(["anchor", "stretch"]), table
 
 
 def _pieces(anchors, keys, counts, contents, masks):
@@ -224,10 +224,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = written(several, "anchors")
     found = counted.join(several, F.col("anchor") == F.col("on")).drop("on")
     found = written(found, "candidates")
+    dropped(counted, several)
     whole = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("windows")) - 1
     alone = found.where("kinds = 1").select("anchor", "stretch", whole.alias("mask"))
 
-    content = written(_content(docs, found.where("kinds > 1")), "content")
+    content, lists = _content(docs, found.where("kinds > 1"))
+    content = written(content, "content")
+    dropped(lists)
     _release(spark)
     windows = content.select("anchor", "stretch", "n", F.posexplode("hashes").alias("at", "hash"))
     common = written(windows.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1").select(F.col("hash").alias("common")), "windows")
@@ -235,14 +238,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     left = left.withColumnsRenamed({"anchor": "its_anchor", "stretch": "its_stretch"})
     kept = content.join(left, (F.col("anchor") == F.col("its_anchor")) & (F.col("stretch") == F.col("its_stretch"))).select("anchor", "stretch", "n", "content", "left")
     pieces = written(arrow_rows(kept, _pieces, "anchor long, stretch long, n long, at int, words string, piece long"), "pieces")
+    dropped(content, common)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = written(pieces.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.first("words").alias("words")), "distinct-pieces")
     shards = once.select("anchor", "piece", "words", "n").repartition(parts, "anchor").sortWithinPartitions("anchor")
-    reported = written(shards.mapInArrow(_shard, "anchor long, piece long, mask long").where("mask > 0"), "reported")
-    reported = reported.withColumnsRenamed({"anchor": "its_anchor", "piece": "its_piece"})
+    table = written(shards.mapInArrow(_shard, "anchor long, piece long, mask long").where("mask > 0"), "reported")
+    reported = table.withColumnsRenamed({"anchor": "its_anchor", "piece": "its_piece"})
     indexed = pieces.join(reported, (F.col("anchor") == F.col("its_anchor")) & (F.col("piece") == F.col("its_piece")))
     indexed = indexed.groupBy("anchor", "stretch").agg(F.bit_or(F.call_function("shiftleft", F.col("mask"), F.col("at"))).alias("mask"))
     out = written(alone.unionByName(indexed), "repeats")
+    dropped(found, pieces, once, table)
     _release(spark)
     return out
 
@@ -250,11 +255,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 def _with_masks(docs: DataFrame) -> DataFrame:
     """doc_id, text and the repeated windows: ``found``, a list of first windows and bits."""
     prepare(docs.sparkSession)
-    marked = repeats(docs).withColumnsRenamed({"anchor": "its_anchor", "stretch": "its_stretch"})
+    table = repeats(docs)
+    marked = table.withColumnsRenamed({"anchor": "its_anchor", "stretch": "its_stretch"})
     refs = _refs(docs)
     lists = refs.join(marked, (F.col("anchor") == F.col("its_anchor")) & (F.col("stretch") == F.col("its_stretch")))
-    lists = written(lists.select("doc_id", "text_hash", "first", "mask"), "marks")
-    lists = written(lists.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "mask")).alias("found")), "marked-documents")
+    marks = written(lists.select("doc_id", "text_hash", "first", "mask"), "marks")
+    dropped(table)
+    _release(docs.sparkSession)
+    lists = written(marks.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "mask")).alias("found")), "marked-documents")
+    dropped(marks)
     _release(docs.sparkSession)
     return lists.withColumnsRenamed({"doc_id": "its_id", "text_hash": "its_hash"})
 
