@@ -24,20 +24,31 @@ from .common import arrow_rows, prepare, written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 SEGMENTS, LOW_BITS = 16, 0x55555555
+#: The column that numbers rows while one of each component is chosen.
+ROW = "row_of_near"
 
 
-def fingerprint(text: str | None) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(words: list[bytes], length: int = SHINGLE) -> list[int]:
+    """Hashes of all runs of ``length`` words; a shorter text is one shingle, one without words has none."""
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate([[0], ends[:-SHINGLE]]).tolist()
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist())]
+    if len(words) <= length:
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-length]]).tolist()
+    h = xxhash.xxh64_intdigest
+    return [h(joined[a:b], SEED) for a, b in zip(starts, (ends[length - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: str | None) -> int:
+    hashes = shingle_hashes(words_of(text))
+    if not hashes:
+        return 0
     n = len(hashes)
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > n, bitorder="little").view("<u8")[0])
@@ -111,12 +122,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a number for each row."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def place() -> Column:
+    """A row's place in its group: by doc_id, none last, then by a hash of its text, then by its number."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", ROW)
+
+
+def keep_rows(rows: DataFrame, firsts: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of each component of ``numbered`` rows. ``firsts`` has the first ``place`` of each node, ``rooted`` is as of ``components``."""
+    at = rooted.select(F.col("node").alias("of_node"), "root")
+    least = firsts.join(at, F.col("node") == F.col("of_node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(least.select(F.col(f"first.{ROW}").alias("kept_row")), "kept-rows")
+    return rows.join(kept, F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of its least doc_id; of rows that share the id or have none, the first in their order by text."""
-    ids = near_duplicates(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows").withColumnRenamed("doc_id", "id_again")
-    # Only ids that rows share need more than the semi-join.
-    once = kept.join(again, kept["doc_id"].eqNullSafe(again["id_again"]), "left_anti")
-    shared = kept.join(again, kept["doc_id"].eqNullSafe(again["id_again"]), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(shared)
+    """One row of each component: the first by doc_id, none last; rows of one id by a hash of their text."""
+    prepare(docs.sparkSession)
+    rows = numbered(docs)
+
+    def run(numbers, ids, marks, texts):
+        return [numbers, ids, marks, np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64).tolist()]
+
+    found = arrow_rows(rows.select(ROW, "doc_id", F.xxhash64("text").alias("mark"), "text"), run, f"{ROW} long, doc_id long, mark long, node long")
+    firsts = written(found.groupBy("node").agg(F.min(place()).alias("first")), "firsts")
+    return keep_rows(rows, firsts, components(links(firsts.select(F.col("node").alias("fp")))))

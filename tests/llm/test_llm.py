@@ -274,6 +274,15 @@ def test_simhash(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def test_keep_first_keeps_one_row_of_each_component(docs):
+    text = lambda k: " ".join(f"k{k}x{i}" for i in range(60))
+    # Several null ids on unrelated texts, and ids that stand on two texts, one of them copied under a lesser id.
+    table = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (5, text(3)), (5, text(4)), (3, text(3)), (7, text(5)), (7, text(5)), (None, text(4)), (9, text(6)), (9, text(7))]
+    kept = simhash.keep_first(docs(table))
+    want = [(None, text(0)), (None, text(1)), (None, text(2)), (3, text(3)), (5, text(4)), (7, text(5)), (9, text(6)), (9, text(7))]
+    assert rows(kept, "doc_id", "text") == sorted(want, key=repr) and kept.columns == docs(table).columns
+
+
 def test_links_find_every_near_pair(spark):
     rng = np.random.default_rng(6)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
