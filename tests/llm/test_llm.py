@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pii_lens.llm import fm_index, langid, mixing, packing, quality, queries, secrets, simhash, substring, token_store, topk, warc
+from pii_lens.llm import fm_index, langid, mixing, near, packing, quality, queries, secrets, simhash, substring, token_store, topk, warc
 from pii_lens.llm.encoding import encoder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -293,6 +293,56 @@ def test_links_find_every_near_pair(spark):
     assert got == want and len(want) > 100
 
 
+def brute_near(table):
+    """Of each component of five-word shingles' similarity of 0.8 the first row by doc_id, none last."""
+    sets = []
+    for _, t in table:
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {None})
+    root = list(range(len(table)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+                linked += sets[i] != sets[j]
+    first = {}
+    for i, (doc_id, _) in enumerate(table):
+        key = (doc_id is None, doc_id)
+        first[find(i)] = min(first.get(find(i), key), key)
+    return linked, sorted((f[1] for f in first.values()), key=repr)
+
+
+def test_near_duplicates_of_the_pipeline_are_those_of_brute_force(docs, spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(14)
+    texts = [t for t in mixed_texts() if t is None or len(t) < 5000] + ["a b c d", "A b  c d", "a b c d e"]
+    for k in range(12):
+        base = [f"q{x}" for x in rng.integers(0, 5000, int(rng.integers(20, 300)))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 5, 8):
+            copy = list(base)
+            for at in rng.choice(len(copy), edits, replace=False):
+                copy[at] = f"z{k}"
+            texts.append(" ".join(copy[int(rng.integers(0, 3)) :]))
+        texts.append(f"{PASSAGE} " + " ".join(base[:40]))
+    # A chain whose ends differ, and many near copies of one text.
+    chain = [f"c{i}" for i in range(200)]
+    texts += [" ".join(chain[k : k + 120]) for k in range(0, 80, 8)] + [" ".join([*chain[:100], f"t{k}"]) for k in range(30)]
+    table = [(None if i == 40 else 1000 - i, t) for i, t in enumerate(texts)]
+    linked, want = brute_near(table)
+    assert linked > 100 and len(want) < len(table) - 50
+    assert [r[0] for r in rows(cp.near_duplicates(spark, docs(table), ""), "doc_id")] == want
+    assert near.keep_first(docs([])).count() == 0
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
