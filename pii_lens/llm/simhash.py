@@ -136,8 +136,10 @@ def keep_rows(rows: DataFrame, firsts: DataFrame, rooted: DataFrame) -> DataFram
     """One row of each component of ``numbered`` rows. ``firsts`` has the first ``place`` of each node, ``rooted`` is as of ``components``."""
     at = rooted.select(F.col("node").alias("of_node"), "root")
     least = firsts.join(at, F.col("node") == F.col("of_node"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = written(least.select(F.col(f"first.{ROW}").alias("kept_row")), "kept-rows")
-    return rows.join(kept, F.col(ROW) == F.col("kept_row"), "left_semi").drop(ROW)
+    kept = least.select(F.col(f"first.{ROW}").alias("kept_row"))
+    # Fewer go than stay, so the texts need not move where those that go can be broadcast.
+    gone = written(rows.select(F.col(ROW).alias("gone_row")).join(kept, F.col("gone_row") == F.col("kept_row"), "left_anti"), "gone-rows")
+    return rows.join(gone, F.col(ROW) == F.col("gone_row"), "left_anti").drop(ROW)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
