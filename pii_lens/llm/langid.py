@@ -5,8 +5,8 @@ each order. A known word scores by its frequency in each language. An unseen wor
 which it has known n-grams, each n-gram that is unknown at that order falling back to the next shorter one. A document's
 language has the highest sum over its words; equal sums go to the smaller language by code point.
 
-The model is fitted on a sample of about ``Fit.documents`` labelled documents, drawn by a hash of their doc_id over all
-labelled rows, and keeps at most ``Fit.words`` words a language and ``Fit.grams`` n-grams a language and order, so what
+The model is fitted on a sample of about ``Fit.documents`` labelled documents, drawn by a hash of their doc_id from all
+rows of each language: as many of each, or all that there are, so a rare language is learned in a table of any size. It keeps at most ``Fit.words`` words a language and ``Fit.grams`` n-grams a language and order, so what
 is broadcast does not grow with the data.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; a null lang is not learned from; a null doc_id is
@@ -35,6 +35,7 @@ CACHE, SURE_WORDS = 500_000, 20
 @dataclass(frozen=True)
 class Fit:
     documents: int = 8000
+    least: int = 20  # documents of each language, however many languages there are
     words: int = 20_000
     grams: int = 10_000
     orders: tuple[int, ...] = (5, 4, 3, 2, 1)
@@ -126,12 +127,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def level(sizes: list[int], total: int) -> int:
+    """How many to take of each at most, so that there are ``total`` of all at most."""
+    sizes = sorted(sizes)
+    for i, n in enumerate(sizes):
+        if n * (len(sizes) - i) > total:
+            return total // (len(sizes) - i)
+        total -= n
+    return sizes[-1] if sizes else 0
+
+
 def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
     """A model of the labelled documents that are not held out."""
     prepare(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    share = min(1.0, fit.documents / max(1, labelled.count()))
-    drawn = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(fit.seed)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    most = max(fit.least, level(list(sizes.values()), fit.documents))
+    below = docs.sparkSession.createDataFrame([(lang, int(min(1.0, most / n) * (1 << 40))) for lang, n in sizes.items()], "lang string, below long")
+    drawn = labelled.select("doc_id", "lang", "text").join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(fit.seed)), F.lit(1 << 40)) < F.col("below"))
     orders = fit.orders
 
     def count(langs, texts):

@@ -108,6 +108,16 @@ def test_language(docs):
     assert kept.columns == df.columns and kept.count() == 123
 
 
+def test_a_rare_language_is_learned_at_every_size(docs):
+    table = [(i, f"ba{i % 7} bebi", "aa", "s", 1) if i % 2 else (i, f"ka{i % 7} keki", "bb", "s", 1) for i in range(2000)]
+    table += [(5000 + i, "zozu zuzo", "cc", "s", 1) for i in range(6)]
+    df = docs(table)
+    model = langid.train(df, langid.Fit(documents=60))
+    assert model.langs == ["aa", "bb", "cc"]
+    assert {r["lang_pred"] for r in langid.predict(df.where("doc_id >= 5000"), model).collect()} == {"cc"}
+    assert langid.level([5, 100, 100], 60) == 27 and langid.level([5, 6], 60) == 6 and langid.level([], 60) == 0
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 
