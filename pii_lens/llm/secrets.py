@@ -31,9 +31,11 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+HEX_KEY = re.compile(r"[0-9A-Fa-f]{60,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\+[nr])*)-----END \1-----")
+ESCAPED_BREAK = re.compile(r"\\+[nr]")
 SSH_NAMES = re.compile(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp(256|384|521)|sk-[a-z0-9@.-]+")
 
 
@@ -115,17 +117,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         out += (("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN)
     if "AKIA" in text:
         out += (("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS)
-    if max(map(len, text.split()), default=0) >= 32:
-        out += _confirmed(text)
+    out += _confirmed(text)
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in HEX.finditer(text):
-        yield "hex", *m.span()
-        run = m[0]
-        if len(run) >= 60 and len(run) % 2 == 0 and (kind := is_key(bytes.fromhex(run))):
-            yield kind, *m.span()
     if "eyJ" in text:
         for m in JWT.finditer(text):
             if is_signed_token(m[1], m[2]):
@@ -133,15 +129,31 @@ def _confirmed(text: str) -> Iterator[tuple[str, int, int]]:
     blocks = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            raw = _decoded("".join(m[2].split()))
+            raw = _decoded("".join(ESCAPED_BREAK.sub("", m[2]).split()))
             if raw and is_key(raw):
                 blocks.append(m.span())
                 yield "pem", *m.span()
+    # What follows are runs of 32 characters or more.
+    if max(map(len, text.split()), default=0) < 32:
+        return
+    seen = set()
+    for m in HEX.finditer(text):
+        yield "hex", *m.span()
+        seen.add(m.span())
+        if kind := _hex_key(m[0]):
+            yield kind, *m.span()
+    for m in HEX_KEY.finditer(text):
+        if m.span() not in seen and (kind := _hex_key(m[0])):
+            yield kind, *m.span()
     for m in BASE64.finditer(text):
         if not any(a <= m.start() < b for a, b in blocks) and (kind := is_key(_decoded(m[0]))):
             yield kind, *m.span()
 
 
+def _hex_key(run: str) -> str | None:
+    return is_key(bytes.fromhex(run)) if len(run) >= 60 and len(run) % 2 == 0 else None
+
+
 def _joined(found) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
