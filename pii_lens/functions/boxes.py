@@ -57,6 +57,20 @@ def signature_window(left: Column, top: Column, width: Column, height: Column) -
     return left - x, top - up, left + width + x, top + height + down
 
 
+def clipping(left: Column, top: Column, width: Column, height: Column, page_w: Column, page_h: Column) -> tuple[Column, ...]:
+    """By how much a signature's window runs over the page's left, top, right and bottom edge."""
+    x0, y0, x1, y1 = signature_window(left, top, width, height)
+    return F.greatest(F.lit(0), -x0), F.greatest(F.lit(0), -y0), F.greatest(F.lit(0), x1 - page_w), F.greatest(F.lit(0), y1 - page_h)
+
+
+def padded_page(page_w: Column, page_h: Column, aspect: float) -> tuple[Column, ...]:
+    """Width and height of the least page of an aspect that holds a page, and where that stands in its middle."""
+    narrow = page_w / page_h < aspect
+    w = F.when(narrow, F.bround(page_h * aspect).cast("int")).otherwise(page_w)
+    h = F.when(narrow, page_h).otherwise(F.bround(page_w / aspect).cast("int"))
+    return w, h, F.floor((w - page_w) / 2).cast("int"), F.floor((h - page_h) / 2).cast("int")
+
+
 def upscale_factor(text_height: Column, width: Column, height: Column) -> Column:
     """The factor that brings text to its height, less while the long side would be too long; 1 for no text."""
     aim = F.greatest(F.lit(1), F.least(F.lit(MOST_FACTOR), F.bround(F.lit(float(TARGET_HEIGHT)) / text_height).cast("int")))

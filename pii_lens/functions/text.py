@@ -15,19 +15,54 @@ def shadow(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, NON_ASCII_LETTER, "a"), NON_ASCII, " ")
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text) of all matches, ends exclusive. Starts come from the gaps that a split leaves."""
-    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+#: Stands around matches in a shadow, which holds no such character.
+MARK = "§"
+#: Entries that a running sum appends one by one before they are put away as a block.
+BLOCK = 256
+
+
+def marked(text: Column, pattern: str) -> Column:
+    """A shadow with every match between marks: the one pass of a pattern over a text."""
+    return F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
+
+
+def cut(marked_text: Column) -> Column:
+    """Gaps and matches by turns, beginning and ending with a gap; null where nothing matches."""
+    return F.when(F.contains(marked_text, F.lit(MARK)), F.split(marked_text, MARK))
+
+
+def running(values: Column, combine=lambda a, b: a + b) -> Column:
+    """Running sums (or maxima and the like) of an array of ints. They are put away by blocks, so the cost is in proportion to the length."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(None).cast("int").alias("at"), F.array().cast("array<array<int>>").alias("blocks"), none.alias("last"))
 
     def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
+        at = F.when(acc["at"].isNull(), x).otherwise(combine(acc["at"], x))
+        full = F.size(acc["last"]) >= BLOCK
+        blocks = F.when(full, F.concat(acc["blocks"], F.array(acc["last"]))).otherwise(acc["blocks"])
+        return F.struct(at.alias("at"), blocks.alias("blocks"), F.when(full, F.array(at)).otherwise(F.concat(acc["last"], F.array(at))).alias("last"))
+
+    return F.aggregate(values, start, step, lambda acc: F.flatten(F.concat(acc["blocks"], F.array(acc["last"]))))
+
 
-    hits = F.filter(found, lambda x: x["hit"].isNotNull())
-    every = F.aggregate(hits, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), every).otherwise(empty)
+def spans(df: DataFrame, column: str, patterns: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns that it needs, and for each pattern an array of (start, end, value) of its matches in a shadow.
+
+    Matches of a pattern are leftmost and don't overlap; ends are exclusive. Each pattern passes over the text once. The
+    steps are projections of their own, as what is used twice would be evaluated twice within one.
+    """
+    n = range(len(patterns))
+    df = df.select("*", *(marked(F.col(column), p).alias(f"__marked{k}") for k, p in zip(n, patterns)))
+    df = df.select("*", *(cut(F.col(f"__marked{k}")).alias(f"__cut{k}") for k in n)).drop(*(f"__marked{k}" for k in n))
+    df = df.select("*", *(F.when(F.col(f"__cut{k}").isNotNull(), running(F.transform(f"__cut{k}", F.length))).alias(f"__ends{k}") for k in n))
+
+    def one(k: int) -> Column:
+        parts, ends = F.col(f"__cut{k}"), F.col(f"__ends{k}")
+        at = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+        hits = F.transform(at, lambda i: F.struct(F.get(ends, i - 1).alias("start"), F.get(ends, i).alias("end"), F.get(parts, i).alias("value")))
+        return F.when(parts.isNotNull(), hits).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+    return df, [one(k) for k in n]
 
 
 def digits(value: Column) -> Column:
@@ -40,6 +75,14 @@ def luhn_ok(value: Column, length: int | None = None) -> Column:
     return ok if length is None else ok & (F.length(d) == length)
 
 
+def gstin_ok(value: Column) -> Column:
+    """The last of 15 characters checks the others: weights 1 and 2 by turns in base 36, the digits of each product summed."""
+    code = lambda i: F.call_function("instr", F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring(value, i, F.lit(1))) - 1
+    products = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: code(i) * (2 - i % 2))
+    total = F.aggregate(products, F.lit(0), lambda a, x: a + F.floor(x / 36).cast("int") + x % 36)
+    return F.when(F.length(value) == 15, (36 - total % 36) % 36 == code(F.lit(15))).otherwise(False)
+
+
 def verhoeff_ok(value: Column, length: int | None = None) -> Column:
     """Verhoeff's check: permute each digit by its place from the right, multiply up in the dihedral group."""
     d = digits(value)
@@ -56,7 +99,7 @@ def verhoeff_ok(value: Column, length: int | None = None) -> Column:
 def label_norm(text: Column) -> Column:
     """A label in lower case without punctuation; single characters join a short alphabetic word before them (``A/C`` is ``ac``).
 
-    Compatibility forms are for ``sources.fold_forms``, which touches only rows that are not ASCII.
+    Compatibility forms (full-width letters and the like) are for ``operators.words.fold_forms``, which comes before.
     """
     bare = F.trim(F.lower(F.regexp_replace(F.regexp_replace(text, lexicon.LABEL_PUNCTUATION, " "), r"\s+", " ")))
     words = F.filter(F.split(bare, " "), lambda w: w != "")
@@ -121,19 +164,26 @@ def similar(a: Column, b: Column) -> Column:
     return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
 
 
+def is_signature_cue(token: Column) -> Column:
+    """Whether a word stands beside signatures, punctuation around it aside."""
+    return F.lower(F.regexp_replace(F.trim(token), r"^[.:,;]+|[.:,;]+$", "")).isin(*lexicon.SIGNATURE_CUES)
+
+
 def media_type(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     return F.when(suffix.isin("jpg", "jpeg"), "image/jpeg").when(suffix == "webp", "image/webp").when(suffix == "gif", "image/gif").otherwise("image/png")
 
 
 def anchor(heading: Column) -> Column:
-    return F.replace(F.trim(F.lower(heading)), F.lit(" "), F.lit("-"))
+    """What links to a heading: lower case, hyphens for spaces, no other punctuation."""
+    return F.replace(F.regexp_replace(F.trim(F.lower(heading)), r"[^\p{L}\p{N} _-]", ""), F.lit(" "), F.lit("-"))
 
 
 def config_value(value: Column) -> Column:
     return F.when(value == "true", "on").when(value.isNull() | (value == "false"), "off").otherwise(value)
 
 
+# Fixed value: what a line of a label and its value looks like.
 LINE = r"^\s*([^:\n]{2,40}?)\s*:\s*(\S.*)$"
 
 

@@ -37,9 +37,31 @@ def veto(boxes: DataFrame, protected: DataFrame) -> DataFrame:
     return a.join(b, hit, "left_anti")
 
 
+def union_geometry(*sources: DataFrame) -> DataFrame:
+    """Boxes of several detectors; of those with the same place on a page, whatever their kinds, that of the first source stays.
+
+    Sources are (page_id, label, left, top, width, height); of one source's the first label in order stays.
+    """
+    every = None
+    for k, boxes in enumerate(sources):
+        one = boxes.select("page_id", "label", *GEOMETRY, F.lit(k).alias("source"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("page_id", *GEOMETRY).agg(F.min(F.struct("source", "label")).alias("first")).select("page_id", "first.label", *GEOMETRY)
+
+
+def vetoed_counts(boxes: DataFrame, protected: DataFrame) -> DataFrame:
+    """(page_id, withdrawn): how many boxes of each page ``veto`` drops; pages that lose none have no row."""
+    a, b = boxes.alias("a"), protected.alias("b")
+    hit = (F.col("a.page_id") == F.col("b.page_id")) & F.col("a.label").isin(*VETOED) & (overlap_fraction(box("a."), box("b.")) >= VETO_FROM)
+    return a.join(b, hit, "left_semi").groupBy("page_id").agg(F.count("*").alias("withdrawn"))
+
+
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The upper of the middle two."""
-    return df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("all")).select(*by, F.element_at("all", F.floor(F.size("all") / 2).cast("int") + 1).alias("upper_median"))
+    """The upper of the middle two, from counts of the distinct values, so that no group is gathered; null values don't count."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    half = F.floor(F.sum("__n").over(Window.partitionBy(*by)) / 2)
+    return counts.select(*by, value, (upto > half).alias("__there")).where("__there").groupBy(*by).agg(F.min(value).alias("upper_median"))
 
 
 def _merge(rects: list[list[int]], v: float, h: float) -> list[list[int]]:
@@ -66,7 +88,7 @@ def merge_blocks(boxes: DataFrame) -> DataFrame:
         got = _merge([[x, y, x + w, y + h] for x, y, w, h in rows], m * BLOCK_VERTICAL, m * BLOCK_HORIZONTAL)
         return [(*key, a, b, c - a, d - b) for a, b, c, d in sorted(got)]
 
-    return by_group(boxes.select("page_id", "label", *GEOMETRY), ["page_id", "label"], GEOMETRY, one, "page_id long, label string, left int, top int, width int, height int")
+    return by_group(boxes.select("page_id", "label", *GEOMETRY), ["page_id", "label"], GEOMETRY, one, f"page_id {boxes.schema['page_id'].dataType.simpleString()}, label string, left int, top int, width int, height int")
 
 
 def agreement(ours: DataFrame, theirs: DataFrame, least: float = 0.9) -> DataFrame:

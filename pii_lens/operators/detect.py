@@ -1,15 +1,17 @@
-"""Detection: recognizers over a text column, in one projection and one scan."""
+"""Detection and redaction of a text column, row by row: no row meets another, so nothing is shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import luhn_ok, shadow, spans, verhoeff_ok
+from ..functions.text import gstin_ok, luhn_ok, running, shadow, spans, verhoeff_ok
 from ..plans import catalog
 from ..plans.catalog import Recognizer
 
-#: Characters before a span in which its context words are sought.
-CONTEXT_CHARS = 400
+#: Characters before a span that are looked at first for its context; where its words don't end in them, all are.
+PEEK = 400
+#: Runs of spans whose text is cut out of the whole at once.
+RUNS = 64
 
 
 def valid(r: Recognizer, value: Column) -> Column:
@@ -19,45 +21,62 @@ def valid(r: Recognizer, value: Column) -> Column:
         return verhoeff_ok(value, r.length)
     if r.check == "octets":
         return F.forall(F.split(value, r"\."), lambda x: x.cast("int") <= 255)
+    if r.check == "gstin":
+        return gstin_ok(value)
     return F.lit(True)
 
 
 def context_found(text: Column, start: Column, words: tuple[str, ...]) -> Column:
-    """Whether one of the words or phrases is among the tokens just before the span."""
+    """Whether one of the words or phrases is among the last tokens before the span, however long those are.
+
+    The text before is turned around, so that a match from its beginning meets the last tokens first and goes no further.
+    """
     if not words:
         return F.lit(False)
-    near = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-    found = F.regexp_extract_all(near, F.lit("[a-z0-9]+"), F.lit(0))
-    last = F.slice(found, F.greatest(F.size(found) - (catalog.CONTEXT_WORDS - 1), F.lit(1)), F.lit(catalog.CONTEXT_WORDS))
-    line = F.concat(F.lit(" "), F.array_join(last, " "), F.lit(" "))
-    return line.rlike(" (?:" + "|".join(words) + ") ")
+    n = catalog.CONTEXT_WORDS
+    back = lambda size: F.reverse(F.lower(F.substring(text, start - size + 1, size)))
+    near = F.regexp_extract(back(F.least(start, F.lit(PEEK))), rf"^(?:[^a-z0-9]*+[a-z0-9]++){{{n}}}(?=[^a-z0-9])", 0)
+    whole = F.regexp_extract(back(start), rf"^(?:[^a-z0-9]*+[a-z0-9]++){{0,{n}}}", 0)
+    last = F.regexp_replace(F.reverse(F.when(near != "", near).otherwise(whole)), "[^a-z0-9]+", " ")
+    return F.concat(F.lit(" "), last, F.lit(" ")).rlike(" (?:" + "|".join(words) + ") ")
 
 
-def _tagged(kind: int, score: float):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), F.lit(score).alias("base"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
+def _scored(r: Recognizer, base: float, boost: bool):
+    """From a match to its type, place and score."""
 
+    def one(hit):
+        score = F.lit(base)
+        if boost:
+            score = F.round(F.least(F.lit(1.0), score + F.when(context_found(F.col("__shade"), hit["start"], r.context), F.lit(catalog.CONTEXT_BOOST)).otherwise(F.lit(0.0))), 4)
+        return F.struct(F.lit(r.entity).alias("entity_type"), hit["start"].alias("span_start"), hit["end"].alias("span_end"), score.alias("score"))
 
-def detect(df: DataFrame, recognizers: tuple[Recognizer, ...] = catalog.RECOGNIZERS, key: str = "doc_id", text: str = "text", boost: bool = True, least: float | None = None) -> DataFrame:
-    """(key, entity_type, span_start, span_end, score) of each match that its check passes.
+    return one
+
+
+def with_spans(df: DataFrame, recognizers: tuple[Recognizer, ...] = catalog.RECOGNIZERS, text: str = "text", boost: bool = True, into: str = "found") -> DataFrame:
+    """``df`` with an array of (entity_type, span_start, span_end, score) of each match that its check passes, in that order.
 
-    All patterns are one array of structs per row, exploded once, so the source is read once. Matches of a recognizer's
-    pattern are leftmost and don't overlap; different patterns may. Of equal (type, start, end) the best score stays.
-    A null text has no spans.
+    Matches of a recognizer's pattern are leftmost and don't overlap; different patterns may. Of equal (type, start, end)
+    the best score stays. A null text and one without a match have an empty array. Rows are taken one by one, so repeated
+    rows, null keys and extra columns change nothing.
     """
-    shade = df.select(F.col(key), shadow(F.col(text)).alias("shade"))
-    found = []
-    for k, r in enumerate(recognizers):
-        for pattern, score in r.patterns:
-            found.append(F.transform(spans(F.col("shade"), pattern), _tagged(k, score)))
-    hits = shade.select(key, "shade", F.explode(F.concat(*found)).alias("hit")).select(key, "shade", "hit.*")
-    ok, context, entity = F.lit(False), F.lit(False), F.lit(None).cast("string")
-    for k, r in reversed(list(enumerate(recognizers))):
-        ok = F.when(F.col("kind") == k, valid(r, F.col("value"))).otherwise(ok)
-        entity = F.when(F.col("kind") == k, F.lit(r.entity)).otherwise(entity)
-        context = F.when(F.col("kind") == k, context_found(F.col("shade"), F.col("start"), r.context)).otherwise(context)
-    score = F.round(F.least(F.lit(1.0), F.col("base") + F.when(context, F.lit(catalog.CONTEXT_BOOST)).otherwise(F.lit(0.0))), 4) if boost else F.col("base")
-    out = hits.where(ok).select(key, entity.alias("entity_type"), F.col("start").alias("span_start"), F.col("end").alias("span_end"), score.alias("score"))
-    out = out.groupBy(key, "entity_type", "span_start", "span_end").agg(F.max("score").alias("score"))
+    kinds = [(r, pattern, score) for r in recognizers for pattern, score in r.patterns]
+    checked = lambda r, hits: F.filter(hits, lambda h: F.coalesce(valid(r, h["value"]), F.lit(False))) if r.check else hits
+    old = df.columns
+    shaded, hits = spans(df.select("*", shadow(F.col(text)).alias("__shade")), "__shade", [p for _, p, _ in kinds])
+    found = [F.transform(checked(r, array), _scored(r, base, boost)) for (r, _, base), array in zip(kinds, hits)]
+    every = shaded.select(*(F.col(f"`{c}`") for c in old), F.sort_array(F.concat(*found)).alias("__every"))
+    same = lambda a, b: (a["entity_type"] == b["entity_type"]) & (a["span_start"] == b["span_start"]) & (a["span_end"] == b["span_end"])
+    # In their order the last of equals has the best score.
+    best = F.filter("__every", lambda x, i: ~F.coalesce(same(x, F.get("__every", i + 1)), F.lit(False)))
+    return every.select(*(F.col(f"`{c}`") for c in old), best.alias(into))
+
+
+def detect(df: DataFrame, recognizers: tuple[Recognizer, ...] = catalog.RECOGNIZERS, key: str = "doc_id", text: str = "text", boost: bool = True, least: float | None = None) -> DataFrame:
+    """(key, entity_type, span_start, span_end, score), a row for each span that ``with_spans`` finds."""
+    found = with_spans(df.select(key, F.col(text).alias("__text")), recognizers, "__text", boost, "__found")
+    # Not ``explode``: the optimizer would put a filter below it that finds all spans a second time.
+    out = found.select(key, F.explode_outer("__found").alias("__hit")).where(F.col("__hit.span_start").isNotNull()).select(key, "__hit.*")
     return out if least is None else out.where(F.col("score") >= least)
 
 
@@ -66,15 +85,39 @@ def allowed(spans_df: DataFrame, wanted: list[str] | None = None, dates: bool =
     return spans_df.where(F.col("entity_type").isin(catalog.entities(wanted, dates)) & (F.col("score") >= least))
 
 
-def redact(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[#]") -> DataFrame:
-    """(key, redacted): each run of overlapping spans replaced by a mark; documents without spans are as they were."""
-    lists = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("cuts"))
+def covered(df: DataFrame, cuts: str, text: str = "text", mark: str = "[#]", into: str = "redacted") -> DataFrame:
+    """``df`` with the text, each run of overlapping spans of the array ``cuts`` replaced by a mark; a null text stays null.
 
-    def step(acc, c):
-        new = c["span_start"] >= acc["at"]
-        kept = F.substring(F.col(text), acc["at"] + 1, F.greatest(c["span_start"] - acc["at"], F.lit(0)))
-        return F.struct(F.greatest(acc["at"], c["span_end"]).alias("at"), F.when(new, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return df.join(lists, key, "left").select(key, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(done).alias("redacted"))
+    ``cuts`` has span_start and span_end in any order; null and empty arrays leave the text as it is.
+    """
+    old = [F.col(f"`{c}`") for c in df.columns]
+    step = df.select(*old, F.sort_array(F.transform(cuts, lambda c: F.struct(c["span_start"].alias("a"), c["span_end"].alias("b")))).alias("__cuts"))
+    step = step.select("*", running(F.transform("__cuts", lambda c: c["b"]), lambda a, b: F.greatest(a, b)).alias("__reach"))
+    # A run begins where no span before reaches.
+    heads = F.filter(F.sequence(F.lit(0), F.size("__cuts") - 1), lambda i: (i == 0) | (F.get("__cuts", i)["a"] >= F.get("__reach", i - 1)))
+    some = F.coalesce(F.size("__cuts") > 0, F.lit(False))
+    step = step.select("*", F.when(some, heads).alias("__heads"))
+    n = F.size("__heads")
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("__reach", F.when(k < n, F.get("__heads", k)).otherwise(F.size("__reach")) - 1))
+    end = lambda k: F.when(k < n, F.get("__cuts", F.get("__heads", k))["a"]).otherwise(F.length(text))
+
+    def block(b):
+        """The kept pieces of some runs, cut out of their part of the text."""
+        first, last = b * RUNS, F.least(b * RUNS + RUNS - 1, n)
+        part = F.struct(begin(first).alias("at"), F.substring(F.col(text), begin(first) + 1, end(last) - begin(first)).alias("text"))
+        return F.get(F.transform(F.array(part), lambda p: F.array_join(F.transform(F.sequence(first, last), lambda k: F.substring(p["text"], begin(k) - p["at"] + 1, end(k) - begin(k))), mark)), F.lit(0))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(n / RUNS).cast("int")), block)
+    return step.select(*old, F.when(some & F.col(text).isNotNull(), F.array_join(blocks, mark)).otherwise(F.col(text)).alias(into))
+
+
+def redact(df: DataFrame, recognizers: tuple[Recognizer, ...] = catalog.RECOGNIZERS, key: str = "doc_id", text: str = "text", mark: str = "[#]") -> DataFrame:
+    """(key, redacted): detection and redaction in one pass over the rows; texts without spans are as they were."""
+    found = with_spans(df.select(key, F.col(text).alias("__text")), recognizers, "__text", into="__found")
+    return covered(found, "__found", "__text", mark).select(key, "redacted")
+
+
+def redact_by(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[#]") -> DataFrame:
+    """(key, redacted) with spans (key, span_start, span_end) from elsewhere, which must come to their texts by a join. Keys are unique."""
+    lists = found.groupBy(key).agg(F.collect_list(F.struct("span_start", "span_end")).alias("__found"))
+    return covered(df.select(key, F.col(text).alias("__text")).join(lists, key, "left"), "__found", "__text", mark).select(key, "redacted")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import anchor
+
 # Phrases that tell of a past state.
 PAST = (
     r"\bused to\b", r"\bno longer\b", r"\bpreviously\b", r"\bformerly\b", r"\boriginally\b", r"\bat first\b", r"\bfirst attempt\b", r"\bturned out\b",
@@ -28,12 +30,12 @@ def tense(files: DataFrame) -> DataFrame:
 
 def broken_anchors(files: DataFrame) -> DataFrame:
     """Links to a heading of the same file that it doesn't have."""
-    slug = lambda c: F.replace(F.regexp_replace(F.lower(c), "[^a-z0-9 -]", ""), F.lit(" "), F.lit("-"))
-    heads = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1))).alias("h")).select("file", slug(F.col("h")).alias("anchor"))
+    heads = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^#{1,6}\s+(.+)$"), F.lit(1))).alias("h")).select("file", anchor(F.col("h")).alias("anchor"))
     links = files.select("file", F.explode(F.regexp_extract_all("text", F.lit(r"\[[^\]]+\]\(#([^)]+)\)"), F.lit(1))).alias("anchor"))
     return links.join(heads, ["file", "anchor"], "left_anti")
 
 
 def undocumented(scripts: DataFrame, files: DataFrame) -> DataFrame:
-    """Scripts that no text names. The scripts of a repository are few."""
-    return scripts.join(files, F.contains(files["text"], scripts["script"]), "left_anti")
+    """Scripts (script) that no text names as a word of its own: an equi-join on the words of the texts."""
+    named = files.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\w./-]*\w"), F.lit(0))).alias("script")).distinct()
+    return scripts.join(named, "script", "left_anti")

@@ -10,6 +10,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import shadow, spans
+
 
 class WordProvider(Protocol):
     def words(self, images: DataFrame) -> DataFrame:
@@ -47,8 +49,9 @@ class Gazetteer:
         self.names, self.score = names, score
 
     def spans(self, documents: DataFrame) -> DataFrame:
-        from ..functions.text import shadow, spans
-
-        words = documents.select("doc_id", F.explode(spans(shadow(F.col("text")), r"\w+")).alias("w")).select("doc_id", "w.*")
-        found = words.join(self.names, F.lower("value") == F.lower("name"))
+        """(doc_id, entity_type, span_start, span_end, score); a null text has none, names are compared in lower case."""
+        shaded, (words,) = spans(documents.select("doc_id", shadow(F.col("text")).alias("shade")), "shade", [r"\w+"])
+        each = shaded.select("doc_id", F.explode_outer(words).alias("w")).where("w.start is not null").select("doc_id", "w.*")
+        names = self.names.select(F.lower("name").alias("name"), "entity_type").distinct()
+        found = each.join(names, F.lower("value") == F.col("name"))
         return found.select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.lit(self.score).alias("score"))

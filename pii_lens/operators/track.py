@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 
@@ -92,11 +93,50 @@ def refuse_tuning(target: str, roots: dict[str, str], held_out: Iterable[str], p
         raise HeldOutCorpusError(f"{purpose} would tune on {name!r}, which is held out")
 
 
-def sweep(configs: dict[str, dict], score: Callable[[dict], DataFrame], target: str, roots: dict[str, str], held_out: Iterable[str]) -> DataFrame:
-    """Scores each configuration and orders them by recall; refuses held-out corpora first, and a failing one is a row."""
+def _outcome(spark: SparkSession, name: str, run: Callable[[], DataFrame]) -> list[tuple]:
+    """A configuration's (name, recall_floor_pct, seconds, error): the job runs here, so that a failing one is told apart."""
+    began = time.monotonic()
+    try:
+        rows = run().select("recall_floor_pct").limit(2).collect()  # a score is one row
+        error = None if len(rows) == 1 else f"{len(rows)} rows of scores instead of one"
+        floor = rows[0][0] if len(rows) == 1 else None
+    except Exception as e:  # a failure of any kind is this configuration's row
+        error, floor = f"{type(e).__name__}: {e}".splitlines()[0][:500], None
+    return [(name, None if floor is None else float(floor), round(time.monotonic() - began, 3), error)]
+
+
+_OUTCOME = "config string, recall_floor_pct double, seconds double, error string"
+
+
+def sweep(spark: SparkSession, configs: dict[str, dict], score: Callable[[dict], DataFrame], target: str, roots: dict[str, str], held_out: Iterable[str]) -> DataFrame:
+    """(config, recall_floor_pct, seconds, error) of each configuration, by recall, failed ones last; none gives no row.
+
+    Held-out corpora are refused before any job. A configuration that fails is a row with its error; the others go on.
+    """
     refuse_tuning(target, roots, held_out, "a sweep")
-    out = None
-    for name, config in configs.items():
-        one = score(config).withColumn("config", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("recall_floor_pct"), "config")
+    rows = [r for name, config in configs.items() for r in _outcome(spark, name, lambda c=config: score(c))]
+    return spark.createDataFrame(rows, _OUTCOME).orderBy(F.desc_nulls_last("recall_floor_pct"), "config")
+
+
+def suite(spark: SparkSession, corpora: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The same of each corpus's run, in the order given; a corpus that fails doesn't stop the rest."""
+    return spark.createDataFrame([r for name, run in corpora.items() for r in _outcome(spark, name, run)], _OUTCOME)
+
+
+def first_of(df: DataFrame, key: list[str], n: int | None) -> DataFrame:
+    """The first ``n`` rows by key, or all: a prefix that reruns agree on."""
+    return df if n is None else df.orderBy(*key).limit(n)
+
+
+def prerequisites(spark: SparkSession, inputs: Iterable[str] = (), providers: Iterable[tuple[str, str]] = ()) -> None:
+    """Raises with all that is missing before any job: inputs that aren't there, providers that nothing registered."""
+    from . import providers as registry
+
+    jvm, missing = spark._jvm, []
+    for path in inputs:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            missing.append(f"no input {path}")
+    missing += [f"no {kind} provider {name!r}" for kind, name in providers if name not in registry.PROVIDERS.get(kind, {})]
+    if missing:
+        raise RuntimeError("; ".join(missing))

@@ -11,7 +11,7 @@ class Recognizer:
     name: str
     patterns: tuple[tuple[str, float], ...]
     context: tuple[str, ...] = ()
-    check: str | None = None  # luhn, verhoeff or octets
+    check: str | None = None  # luhn, verhoeff, octets or gstin
     length: int | None = None  # of the digits that the check takes
 
 
@@ -34,7 +34,7 @@ RECOGNIZERS = (
     Recognizer("IN_PAN", "pan", ((r"\b[A-Z]{3}[ABCFGHJLPT][A-Z]\d{4}[A-Z]\b", 0.6), (r"\b[A-Z]{5}\d{4}[A-Z]\b", 0.3)), ("pan", "permanent", "income", "tax")),
     Recognizer("IN_VOTER", "voter", ((r"\b[A-Z]{3}\d{7}\b", 0.4),), ("voter", "epic", "election")),
     Recognizer("IN_PASSPORT", "passport", ((r"\b[A-PR-WY][1-9]\d\s?\d{4}[1-9]\b", 0.3),), ("passport", "travel")),
-    Recognizer("IN_GSTIN", "gstin", ((r"\b\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", 0.7),), ("gst", "gstin", "tax")),
+    Recognizer("IN_GSTIN", "gstin", ((r"\b\d{2}[A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", 0.7),), ("gst", "gstin", "tax"), "gstin"),
     Recognizer("EMAIL_ADDRESS", "email", ((r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 0.7),), ("email", "mail")),
     Recognizer("IP_ADDRESS", "ip", ((r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", 0.6),), ("ip", "address", "host"), "octets"),
     Recognizer("CREDIT_CARD", "card", ((r"\b\d{13,19}\b", 0.4), (r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b", 0.5)), ("card", "credit", "visa"), "luhn"),
@@ -51,6 +51,11 @@ def named(*names: str) -> tuple[Recognizer, ...]:
     return tuple(r for r in RECOGNIZERS if r.name in names)
 
 
+def registry(strict_aadhaar: bool = False, more: tuple[Recognizer, ...] = ()) -> tuple[Recognizer, ...]:
+    """All recognizers and further ones; strict leaves out the tolerant form of Aadhaar numbers, which has no check."""
+    return tuple(r for r in RECOGNIZERS if not (strict_aadhaar and r.name == "aadhaar_tolerant")) + tuple(more)
+
+
 def entities(wanted: list[str] | None = None, dates: bool = False) -> list[str]:
     """An explicit list, or else all that is supported without what is excluded."""
     return list(wanted) if wanted else sorted({r.entity for r in RECOGNIZERS} - (set() if dates else set(EXCLUDED)))

@@ -45,11 +45,19 @@ def check(r: Recognizer) -> str:
     size = f"length({d}) = {r.length} AND " if r.length else ""
     if r.check == "octets":
         return r"len(list_filter(string_split(value, '.'), lambda x: CAST(x AS INTEGER) > 255)) = 0"
+    if r.check == "gstin":
+        code = "(strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', substr(value, CAST(k AS BIGINT), 1)) - 1)"
+        return f"(36 - list_sum(list_transform(list_transform(range(1, 15), lambda k: {code} * (2 - k % 2)), lambda x: x // 36 + x % 36)) % 36) % 36 = list_transform([15], lambda k: {code})[1]"
     return {"luhn": size + luhn(d), "verhoeff": size + verhoeff(d), None: "true"}[r.check]
 
 
-def detect(source: str, recognizers=catalog.RECOGNIZERS, boost: bool = True) -> str:
-    """doc_id, entity_type, span_start, span_end, score over a SELECT of doc_id and text."""
+#: A recognizer of words, for joins on them.
+WORD = (Recognizer("WORD", "word", ((r"\w+", 0.85),)),)
+
+
+def detect(source: str, recognizers=catalog.RECOGNIZERS, boost: bool = True, more: str = "") -> str:
+    """doc_id, entity_type, span_start, span_end, score over a SELECT of doc_id and text; repeated rows have spans each. ``more`` may be ``value``, the span's text."""
+    also = f"{more}, " if more else ""
     parts = []
     for r in recognizers:
         for pattern, score in r.patterns:
@@ -58,18 +66,18 @@ def detect(source: str, recognizers=catalog.RECOGNIZERS, boost: bool = True) ->
             regex = ("(?:^|[^\\w*])" + pattern.removeprefix("(?<![\\w*])")) if ahead else pattern
             q = quoted(regex)
             hit = "m[i]" if not ahead else r"regexp_replace(m[i], '^[^\w*]', '')"
-            near = "lower(substr(s, greatest(span_start - 400, 0) + 1, least(span_start, 400)))"
+            near = "lower(substr(s, 1, span_start))"
             toks = f"regexp_extract_all({near}, '[a-z0-9]+')"
             line = f"' ' || array_to_string({toks}[greatest(len({toks}) - 4, 1):], ' ') || ' '"
             found = " OR ".join(f"contains({line}, ' {w} ')" for w in r.context) or "false"
             value = f"round(least(1.0, CAST({score} AS DOUBLE) + CASE WHEN {found} THEN 0.35 ELSE 0.0 END), 4)" if boost else f"CAST({score} AS DOUBLE)"
-            parts.append(f"""SELECT doc_id, '{r.entity}' AS entity_type, span_start, span_start + length(value) AS span_end, {value} AS score FROM (
-                SELECT doc_id, s, {hit} AS value,
+            parts.append(f"""SELECT row_id, doc_id, '{r.entity}' AS entity_type, {also}span_start, span_start + length(value) AS span_end, {value} AS score FROM (
+                SELECT row_id, doc_id, s, {hit} AS value,
                     CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(m[i]) - length({hit}) AS INTEGER) AS span_start
-                FROM (SELECT doc_id, s, regexp_extract_all(s, {q}) AS m, regexp_split_to_array(s, {q}) AS g FROM src) AS a, unnest(range(1, len(m) + 1)) AS u(i)) AS b WHERE {check(r)}""")
+                FROM (SELECT row_id, doc_id, s, regexp_extract_all(s, {q}) AS m, regexp_split_to_array(s, {q}) AS g FROM src) AS a, unnest(range(1, len(m) + 1)) AS u(i)) AS b WHERE {check(r)}""")
     union = "\nUNION ALL\n".join(parts)
-    return f"""WITH src AS (SELECT doc_id, {SHADOW.format('text')} AS s FROM ({source}) AS source)
-        SELECT doc_id, entity_type, CAST(span_start AS INTEGER) AS span_start, CAST(span_end AS INTEGER) AS span_end, max(score) AS score FROM ({union}) AS hits GROUP BY doc_id, entity_type, span_start, span_end"""
+    return f"""WITH src AS (SELECT row_number() OVER () AS row_id, doc_id, {SHADOW.format('text')} AS s FROM ({source}) AS source)
+        SELECT doc_id, entity_type, CAST(span_start AS INTEGER) AS span_start, CAST(span_end AS INTEGER) AS span_end, {f"any_value({more}) AS {more}, " if more else ""}max(score) AS score FROM ({union}) AS hits GROUP BY row_id, doc_id, entity_type, span_start, span_end"""
 
 
 #: The label as words: punctuation away, lower case, single characters joined to a short alphabetic word before them.

@@ -1,4 +1,4 @@
-"""An HTML report from aggregated tables. Every table is a query; only its few rows reach the driver."""
+"""An HTML report from aggregated tables. Every table is a query over aggregated rows."""
 
 from __future__ import annotations
 
@@ -6,15 +6,15 @@ import html
 
 from pyspark.sql import DataFrame
 
-#: Most rows of a table in a report.
-ROWS = 200
 
-
-def section(title: str, df: DataFrame) -> str:
-    rows = df.limit(ROWS).collect()
+def section(title: str, df: DataFrame, rows: int | None = None) -> str:
+    """A table of all rows in their order, which come one partition at a time; or of the first ``rows``, saying how many more there are."""
+    shown = list((df if rows is None else df.limit(rows)).toLocalIterator())
+    more = 0 if rows is None or len(shown) < rows else df.count() - len(shown)
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape('—' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    return f"<section><h2>{html.escape(title)}</h2><table><tr>{head}</tr>{body}</table></section>"
+    body = "".join("<tr>" + "".join(f"<td>{html.escape('—' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in shown)
+    note = f"<p>{more} more rows</p>" if more else ""
+    return f"<section><h2>{html.escape(title)}</h2><table><tr>{head}</tr>{body}</table>{note}</section>"
 
 
 def sparkline(points: list[float], width: int = 160, height: int = 36) -> str:

@@ -52,21 +52,42 @@ REGIONS = """SELECT o_orderkey AS page_id, CAST(o_custkey * 17 % 250 AS INT) AS
     CAST(40 + o_custkey % 120 AS INT) AS width, CAST(20 + o_custkey % 60 AS INT) AS height FROM orders"""
 VISUAL = """SELECT p_partkey AS image, CASE WHEN p_partkey % 3 = 0 THEN 'face' WHEN p_partkey % 3 = 1 THEN 'qr_code' ELSE 'barcode' END AS kind,
     CAST(p_size % 4 AS BIGINT) AS proposed, CAST(p_partkey % 5 AS BIGINT) AS detected, CAST(p_partkey % 2 AS BIGINT) AS surviving FROM part"""
-ITEMS = """SELECT d.doc_id AS page_id, CASE WHEN d.doc_id % 4 = 0 THEN NULL WHEN d.doc_id % 4 = 1 THEN 'EMAIL_ADDRESS' WHEN d.doc_id % 4 = 2 THEN 'PERSON' ELSE 'IN_PAN' END AS expected_type,
-    CASE WHEN l.quality = 1 THEN 'core' WHEN l.quality = 0 THEN 'sensitive' END AS tier, substr(d.text, 1, 40) AS text
-    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
-RUNS = """SELECT c_custkey % 50 AS image, CAST(c_custkey AS STRING) AS value, CASE WHEN c_custkey % 3 = 0 THEN 'leaked' WHEN c_custkey % 3 = 1 THEN 'redacted' ELSE 'unverifiable' END AS baseline,
-    CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 < 2 THEN 'leaked' ELSE 'redacted' END AS candidate FROM customer"""
+# Two runs' verdicts on customers, each row a value on a page.
+RUN_A = "SELECT c_custkey % 50 AS image, CAST(c_custkey AS STRING) AS value, CASE WHEN c_acctbal < 1000 THEN 'leaked' WHEN c_acctbal < 6000 THEN 'redacted' ELSE 'unverifiable' END AS verdict FROM customer"
+RUN_B = "SELECT o_custkey % 50 AS image, CAST(o_custkey AS STRING) AS value, CASE WHEN min(o_totalprice) < 20000 THEN 'leaked' ELSE 'redacted' END AS verdict FROM orders GROUP BY o_custkey"
 HISTORY = """SELECT event_type AS corpus, CAST(ts AS DATE) AS day, count(*) AS items, CAST(count(*) % 3 AS BIGINT) AS image_count,
     round(CAST(sum(CASE WHEN value > 10 THEN 1 ELSE 0 END) AS DOUBLE) * 100 / count(*), 1) AS recall_floor_pct,
     substr(CAST(min(user_id) AS STRING), 1, 1) AS sha FROM events GROUP BY event_type, CAST(ts AS DATE)"""
-ELEMENTS = """SELECT s_suppkey AS image, n.element, CASE WHEN (s_suppkey + n.k) % 3 = 0 THEN 'absent' WHEN (s_suppkey + n.k) % 3 = 1 THEN 'readable' ELSE 'covered' END AS state_before,
-    CASE WHEN (s_suppkey * n.k) % 4 = 0 THEN NULL WHEN (s_suppkey * n.k) % 4 = 1 THEN 'readable' ELSE 'covered' END AS state_after
-    FROM supplier CROSS JOIN (SELECT n_name AS element, n_nationkey + 1 AS k FROM nation WHERE n_nationkey < 6) AS n"""
+# What of an order could be read before and after; not every element was looked for again.
+READ_BEFORE = """SELECT l_orderkey AS image, CASE WHEN l_returnflag = 'N' THEN 'date' WHEN l_returnflag = 'A' THEN 'amount' ELSE 'payee' END AS element,
+    min(CASE WHEN l_partkey % 3 = 0 THEN 'absent' WHEN l_partkey % 3 = 1 THEN 'readable' ELSE 'unread' END) AS state FROM lineitem GROUP BY 1, 2"""
+READ_AFTER = """SELECT l_orderkey AS image, CASE WHEN l_linestatus = 'O' THEN 'date' ELSE 'amount' END AS element,
+    min(CASE WHEN l_suppkey % 2 = 1 THEN 'readable' ELSE 'covered' END) AS state FROM lineitem GROUP BY 1, 2"""
+# Words of orders on tilted lines: rows drift, and words of different heights stand between them.
+TILTED = """SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INT) AS pos, CASE WHEN l_linenumber % 5 = 4 THEN ' ' ELSE 'w' || CAST(l_partkey AS STRING) END AS text,
+    CAST(l_partkey * 37 % 300 AS INT) AS "left", CAST(l_suppkey * 53 % 60 + floor(l_partkey * 37 % 300 / 10) AS INT) AS top, CAST(20 + l_partkey % 100 AS INT) AS width, CAST(8 + l_suppkey % 24 AS INT) AS height FROM lineitem"""
+# Cue words for signatures and the sizes of their pages.
+CUES = """SELECT l_orderkey AS page_id, CASE WHEN l_partkey % 3 = 0 THEN 'Signature:' WHEN l_partkey % 3 = 1 THEN ' (Signed' ELSE 'signed,.' END AS text, CAST(l_partkey * 37 % 300 AS INT) AS "left", CAST(l_suppkey * 53 % 200 AS INT) AS top,
+    CAST(20 + l_partkey % 100 AS INT) AS width, CAST(1 + l_suppkey % 30 AS INT) AS height, CAST(200 + l_orderkey % 300 AS INT) AS page_w, CAST(300 + l_orderkey % 200 AS INT) AS page_h FROM lineitem"""
+FIELD_BOXES = """SELECT CAST(o_orderkey AS STRING) || '.png' AS filename, o_custkey AS k, o_orderkey AS v FROM orders"""
+
+
+#: A table from this size on is worth spreading.
+SPREAD_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is scanned in fewer tasks than there are cores, as one of a single row group is, dealt to all of them.
+
+    A large table has as many splits as cores at least and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    large = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SPREAD_BYTES
+    return df.repartition(cores) if large and df.rdd.getNumPartitions() < cores else df
 
 
 def made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

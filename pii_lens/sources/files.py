@@ -17,10 +17,10 @@ HISTORY = "at TIMESTAMP, run STRING, corpus STRING, recall_floor_pct DOUBLE, rec
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """Path, size and bytes of the page images of a folder, by path; an error if there is none."""
     glob = "*.{" + ",".join(IMAGES + tuple(x.upper() for x in IMAGES)) + "}"
-    out = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).orderBy("path")
-    if out.isEmpty():
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    if files.select("path").limit(1).isEmpty():  # before the sort, which would read all of them
         raise FileNotFoundError(f"no page image in {path}")
-    return out
+    return files.orderBy("path")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -30,12 +30,20 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _whole(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("body"))
+
+
+def load(spark: SparkSession, root: str, name: str) -> tuple[dict, DataFrame]:
+    """The corpus of that name under ``root``; an error that names those that are there, if it isn't."""
+    known = catalog(spark, root)
+    if name not in known:
+        raise FileNotFoundError(f"no corpus {name!r}; there are {', '.join(known) or 'none'}")
+    return corpus(spark, f"{root.rstrip('/')}/{name}/annotations.json")
 
 
 def corpus(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """A corpus's meta entry and its pages: filename, source, visual and pii. Raises if there is no such corpus."""
-    raw = spark.read.option("wholetext", True).text(path)
+    """A corpus's meta entry and its pages: filename, source, visual and pii. Raises if there is no such file."""
+    raw = spark.read.text(path, wholetext=True)
     meta = raw.select(F.get_json_object("value", "$._meta").alias("m")).first()["m"]
     pages = _whole(spark, path, ANNOTATION).select(F.explode("body").alias("filename", "entry")).where(~F.startswith("filename", F.lit("_")))
     return json.loads(meta) if meta else {}, pages.select("filename", "entry.source", "entry.visual", "entry.pii")
@@ -80,13 +88,67 @@ def append_history(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").json(path)
 
 
-def write_summary(results: DataFrame, path: str) -> None:
-    """One JSON object about a run: counts by status, seconds, and totals of entities and regions."""
+def fields_to_corpus(rows: DataFrame, boxes: dict[str, tuple[str | None, str]], name: str = "filename") -> DataFrame:
+    """Pages of a corpus (filename, pii) from a table with a struct (xmin, ymin, xmax, ymax) per field.
+
+    ``boxes`` has each personal field's entity and tier; other fields and null boxes are left out.
+    """
+    item = lambda f, kind, tier: F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(kind).cast("string").alias("expected_type"), F.lit(tier).alias("tier"), F.lit(None).cast("string").alias("text"), F.array(*(F.col(f"{f}.{c}").cast("int") for c in ("xmin", "ymin", "xmax", "ymax"))).alias("box")))
+    found = F.array(*(item(f, kind, tier) for f, (kind, tier) in boxes.items()))
+    return rows.select(F.col(name).alias("filename"), F.filter(found, lambda x: x.isNotNull()).alias("pii"))
+
+
+def detections(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(filename, kind, n) of the regions that a run's summary reports, from the first of the paths that there is; none gives no row."""
+    jvm = spark._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            body = _whole(spark, path, "results ARRAY<STRUCT<filename: STRING, visual_regions: MAP<STRING, BIGINT>>>")
+            return body.select(F.explode("body.results").alias("r")).select("r.filename", F.explode("r.visual_regions").alias("kind", "n"))
+    return spark.createDataFrame([], "filename string, kind string, n long")
+
+
+def write_config(spark: SparkSession, config: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(config, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _sum_of_maps(results: DataFrame, column: str) -> list:
+    """Totals of a column of counts by kind, most first; kinds are few."""
+    totals = results.select(F.explode(column).alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("n"))
+    return [(r["kind"], r["n"]) for r in totals.orderBy(F.desc("n"), "kind").collect()]
+
+
+def write_score(spark: SparkSession, config: dict, sets: DataFrame, path: str) -> None:
+    """One JSON object of a run's score from its counts (dimension, value, redacted, leaked, unverifiable, total), as of
+    ``measure.by_sets``: totals, recall, and counts by type, tier and image. Images are written row by row as they come."""
+    head: dict = {"config": config, "totals": {}, "by_type": {}, "by_tier": {}, "by_image": {}}
+    names = {"type": "by_type", "tier": "by_tier", "page": "by_image"}
+    for r in sets.orderBy("dimension", "value").toLocalIterator():
+        counts = {v: r[v] for v in ("redacted", "leaked", "unverifiable")}
+        if r["dimension"] == "total":
+            n = r["total"]
+            head["totals"] = counts
+            head["recall_floor_pct"] = round(r["redacted"] * 100 / n, 1) if n else 0.0
+            head["recall_ceiling_pct"] = round((r["redacted"] + r["unverifiable"]) * 100 / n, 1) if n else 0.0
+            head["confirmed_visible"] = r["leaked"]
+        else:
+            head[names[r["dimension"]]][r["value"]] = counts
+    write_config(spark, head, path)
+
+
+def write_summary(results: DataFrame, path: str, config: dict | None = None) -> None:
+    """One JSON object about a run of results (status, duration_seconds, entities and visual_regions as maps of counts):
+    counts by status, seconds, and totals of entities and regions by kind, most first."""
+    kinds = {c: _sum_of_maps(results, c) if c in results.columns else [] for c in ("entities", "visual_regions")}
     total = results.agg(
         F.count("*").alias("images"), F.count_if(F.col("status") == "processed").alias("processed"), F.count_if(F.col("status") == "no_pii_found").alias("no_pii_found"),
         F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.sum("duration_seconds"), 2).alias("duration_seconds"),
     )
-    total.coalesce(1).write.mode("overwrite").json(path)  # one row
+    r = total.first().asDict()
+    seconds = r.pop("duration_seconds")
+    body = {"config": config or {}, "duration_seconds": seconds or 0.0, "totals": {**r, **{c: sum(n for _, n in k) for c, k in kinds.items()}}, "entities_by_type": dict(kinds["entities"]), "visual_regions_by_type": dict(kinds["visual_regions"])}
+    write_config(results.sparkSession, body, path)
 
 
 def write_corpus(meta: dict, pages: DataFrame, path: str) -> None:
@@ -94,7 +156,8 @@ def write_corpus(meta: dict, pages: DataFrame, path: str) -> None:
     body = {"_meta": meta} if meta else {}
     for row in pages.orderBy("filename").toLocalIterator():
         r = row.asDict(recursive=True)
-        body[r.pop("filename")] = {k: v for k, v in r.items() if v is not None}
+        name = r.pop("filename")
+        body[name] = {k: v for k, v in r.items() if v is not None}
     spark = pages.sparkSession
     spark.createDataFrame([(json.dumps(body, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 

@@ -1,5 +1,4 @@
-"""Detection on a stream of documents. Detection is row by row but for the last dropping of equal spans, so each
-micro-batch goes through the same operator as a table does."""
+"""Detection on a stream of documents. It is row by row, so a stream goes through the same operator as a table does."""
 
 from __future__ import annotations
 
@@ -15,10 +14,6 @@ def documents(spark: SparkSession, path: str, schema: str, files_per_batch: int
 
 
 def write_spans(stream: DataFrame, out: str, checkpoint: str, recognizers: tuple[Recognizer, ...] = RECOGNIZERS, once: bool = False):
-    """Spans of each micro-batch under ``out/batch=N``; a batch that runs again replaces its own folder."""
-
-    def batch(df: DataFrame, n: int) -> None:
-        allowed(detect(df, recognizers)).write.mode("overwrite").parquet(f"{out}/batch={n}")
-
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    """Spans of the stream as Parquet; the file sink commits each micro-batch once, also when one runs again."""
+    writer = allowed(detect(stream, recognizers)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
