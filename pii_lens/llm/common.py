@@ -11,6 +11,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import adapters
+
 #: A word is a run of anything but these six characters, in every operator.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,16 +21,22 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session, which has no other machine, gets one of its own where it is unset."""
+    context = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        conf = _OWN.get(context.applicationId) or _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(conf)
     return conf
 
 
+#: Folders of local sessions, by application.
+_OWN: dict[str, str] = {}
+
+
 def prepare(spark: SparkSession) -> None:
     """Bounded Arrow batches, a checkpoint folder, and this library on the workers' path."""
     shared_dir(spark)
@@ -75,4 +83,5 @@ def arrow_rows(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All documents; a table of fewer scan tasks than cores is dealt to all of them."""
+    return adapters.table(spark, sf_dir, "documents")

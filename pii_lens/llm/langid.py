@@ -6,8 +6,9 @@ which it has known n-grams, each n-gram that is unknown at that order falling ba
 language has the highest sum over its words; equal sums go to the smaller language by code point.
 
 The model is fitted on a sample of about ``Fit.documents`` labelled documents, drawn by a hash of their doc_id from all
-rows of each language: as many of each, or all that there are, so a rare language is learned in a table of any size. It keeps at most ``Fit.words`` words a language and ``Fit.grams`` n-grams a language and order, so what
-is broadcast does not grow with the data.
+rows of each language: as many of each, or all that there are, so a rare language is learned in a table of any size. It
+keeps about ``Fit.words`` words a language and ``Fit.grams`` n-grams a language and order, the commonest; of those that are
+equally common at the bound a hash chooses. So what is broadcast grows with the languages, not with the data.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; a null lang is not learned from; a null doc_id is
 predicted, not held out and not learned from. Where nothing is learned, every document is ``und``. Repeated rows give a
@@ -24,12 +25,14 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import arrow_rows, prepare
+from .common import arrow_rows, dropped, prepare, written
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words that a worker keeps scores of, and words of a text over which its certainty is counted.
 CACHE, SURE_WORDS = 500_000, 20
+#: Parts into which a hash deals items that are equally common where not all have room.
+TIES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -162,22 +165,26 @@ def train(docs: DataFrame, fit: Fit = Fit()) -> Model:
         return [list(x) for x in zip(*rows)] if rows else [[], [], [], []]
 
     counts = arrow_rows(drawn.select("lang", "text"), count, "lang string, kind int, item string, n long")
-    counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counts = written(counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "language-counts")
     # The commonest of each kind: rank by how many of the kind are as common, from a histogram, not by a sort of the kind.
     histogram = counts.groupBy("lang", "kind", "n").agg(F.count("*").alias("items"))
-    keep: dict[tuple, int] = {}
+    keep: dict[tuple, tuple[int, int]] = {}  # the least count that has room, and what share of the items of that count
     running: Counter = Counter()
     totals: Counter = Counter()
     for r in histogram.orderBy("lang", "kind", F.desc("n")).toLocalIterator():
         key = (r["lang"], r["kind"])
+        room = (fit.grams if r["kind"] else fit.words) - running[key]
         running[key] += r["items"]
         totals[key] += r["items"] * r["n"]
-        if running[key] <= (fit.grams if r["kind"] else fit.words):
-            keep[key] = r["n"]
+        if room > 0:
+            keep[key] = (r["n"], min(TIES, room * TIES // r["items"]))
     if not keep:
+        dropped(counts)
         return Model([], {}, np.zeros((0, 0)), [{} for _ in orders], np.zeros((0, 0)), orders, np.zeros(0))
-    bounds = docs.sparkSession.createDataFrame([(a, b, n) for (a, b), n in keep.items()], "lang string, kind int, least long")
-    chosen = counts.join(F.broadcast(bounds), ["lang", "kind"]).where("n >= least").drop("least").toPandas()
+    bounds = docs.sparkSession.createDataFrame([(*key, *kept) for key, kept in keep.items()], "lang string, kind int, least long, share long")
+    among = (F.col("n") > F.col("least")) | (F.col("n") == F.col("least")) & (F.pmod(F.xxhash64("item"), F.lit(TIES)) < F.col("share"))
+    chosen = counts.join(F.broadcast(bounds), ["lang", "kind"]).where(among).drop("least", "share").toPandas()
+    dropped(counts)
     langs = sorted({a for a, _ in keep})
     at = {lang: i for i, lang in enumerate(langs)}
     tables: list[tuple[dict[str, int], np.ndarray]] = []

@@ -1,6 +1,7 @@
 """Every operator against a brute-force version on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pii_lens.llm import fm_index, langid, mixing, near, packing, quality, queries, secrets, simhash, substring, token_store, topk, warc
 from pii_lens.llm.encoding import encoder
 
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 9973}" for i in range(60_000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
@@ -118,6 +120,57 @@ def test_a_rare_language_is_learned_at_every_size(docs):
     assert langid.level([5, 100, 100], 60) == 27 and langid.level([5, 6], 60) == 6 and langid.level([], 60) == 0
 
 
+def plain_score(model, text):
+    """The score of a text from the model's tables alone: words known, else n-grams that give way to their two shorter ones."""
+    total = np.zeros(len(model.langs))
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    for word in found:
+        if word in model.words:
+            total += model.table[model.words[word]]
+            continue
+        padded = f"<{word}>"
+        k = next(i for i, o in enumerate(model.orders) if o <= len(padded))
+        # Two n-grams that share a shorter one give way to it once.
+        at = {(i, k) for i in range(len(padded) - model.orders[k] + 1)}
+        rows = []
+        while at:
+            i, j = min(at)
+            at.remove((i, j))
+            if j == len(model.orders):
+                continue
+            row = model.grams[j].get(padded[i : i + model.orders[j]])
+            if row is not None:
+                rows.append(row)
+            else:
+                at |= {(i, j + 1), (i + 1, j + 1)}
+        total += model.gram_table[rows].mean(0) if rows else model.floor
+    scaled = (total - total.max()) / len(found) * min(len(found), langid.SURE_WORDS)
+    return model.langs[int(np.argmax(total))], float(1 / np.exp(scaled).sum())
+
+
+def test_language_scores_are_those_of_brute_force_and_hold_out(spark):
+    """On documents of the test tables: every score against a plain one, and accuracy where nothing was learned."""
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.train(df)
+    rows_ = langid.predict(df, model).join(df.select("doc_id", "text", "lang"), "doc_id").collect()
+    assert len(rows_) == df.count()
+    held = [r for r in rows_ if r["held_out"] and r["lang"] and r["lang_pred"] != "und"]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held) > 30
+    for r in rows_[:150]:
+        if r["lang_pred"] != "und":
+            lang, score = plain_score(model, r["text"])
+            assert (lang, pytest.approx(score, abs=1e-9)) == (r["lang_pred"], r["score"])
+    long = f"{rows_[0]['text']} " * 3000
+    assert langid.predict(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first()["lang_pred"] in model.langs
+
+
+def test_equally_common_items_and_scores(docs):
+    table = [(i, f"{'abcdefghij'[i % 10] * 4}", "aa" if i % 2 else "bb", "s", 1) for i in range(400)]
+    model = langid.train(docs(table), langid.Fit(words=4, grams=3))
+    assert model.langs == ["aa", "bb"] and 0 < len(model.words) <= 10  # all of a language's words are equally common
+    assert model.predict("zzzz")[0] == "aa" and model.predict("zzzz")[1] == pytest.approx(0.5)
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 
