@@ -2,7 +2,7 @@
 
 A text is cut at single spaces and line feeds, which are borders of the tokenizer's own pre-tokens, and the ids of each
 part are kept in a bounded cache. Parts of plain letters go straight to the library's BPE model; all others, and texts
-with a part that ends in white space, go through the library whole. Tests hold the ids against the library's.
+with a part that ends in white space or with the string of an added token, go through the library whole. Tests hold the ids against the library's.
 """
 
 from __future__ import annotations
@@ -92,19 +92,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
+        #: Strings that the library takes for tokens of their own, whatever stands around them.
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = spec["pre_tokenizer"] or {}
         split = pre.get("pretokenizers", [{}])[0]
         self.plain = Parts(self.tokenizer, lower="Lowercase" in kinds)
         if kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert"):
-            self.ids = self._words
+            self.parts = self._words
         elif spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
             self.spaced = Spaced(self.tokenizer, self.plain)
-            self.ids = self._bytes
+            self.parts = self._bytes
         else:
-            self.ids = self.plain.encoded
+            self.parts = self.plain.encoded
+
+    def ids(self, text: str) -> bytes:
+        low = text.lower() if self.added else ""
+        return self.plain.encoded(text) if any(t in low for t in self.added) else self.parts(text)
 
     def _words(self, text: str) -> bytes:
         return b"".join(map(self.plain.__getitem__, text.replace("\n", " ").split(" ")))

@@ -4,14 +4,15 @@ Rolling hashes over a document's ids cut them into chunks where the content says
 chunks. The store has three tables under its folder:
 
 * ``chunks/kind=chunk``: digest, ids (packed in 2 or 4 bytes each), each distinct chunk once;
-* ``chunks/kind=ref``: what chunk stands where in which document;
 * ``recipes``: a row per document in ascending doc_id order, in files that follow each other: its number of ids, its
   chunks in order and the Merkle root of their digests;
-* ``manifest``: for each recipe file its documents, its ids, how many ids come before it and the Merkle root of its
-  documents' roots.
+* ``manifest``: a row for each ``BLOCK`` documents of a recipe file: how many they are, their ids, how many ids come
+  before them, and the Merkle root of their documents' roots; and a row for all, with the root of the files' roots.
 
-Reading back hashes every chunk again, checks each document's Merkle root, and computes each document's checksum from
-its chunks' checksums, which combine, so no chunk is moved to the documents that hold it.
+Reading back recomputes the manifest from the recipes and raises if any row of either is missing or other than it was;
+hashes every chunk again; checks each document's chunks against its Merkle root; and computes each document's checksum
+from its chunks' checksums, which combine, so no chunk is moved to the documents that hold it. ``ids`` does move them,
+and gives the documents' ids.
 
 Nulls: a null text is empty (its end id alone); a null doc_id comes first. Repeated rows are documents of their own;
 equal doc_ids follow each other in the order of the scan. An empty table gives an empty store. Extra columns are not read.
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import running
 from .common import arrow_rows, new_path, prepare
 from .encoding import encoder
 
@@ -171,25 +173,46 @@ def write(docs: DataFrame, path: str, store: Store) -> None:
     dealt = _cut(docs, store).repartition(parts, key)
     dealt.mapInArrow(_keep_once, _CUT + ", kind string").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
 
-    root = F.pandas_udf(lambda s: s.map(lambda x: merkle(list(x))), "binary")
-    refs = _refs(spark, path)
+    refs = spark.read.schema(_CUT + ", kind string").parquet(f"{path}/chunks").where("kind = 'ref'")
     recipes = refs.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("ord", "n", "digest"))).alias("chunks"))
-    recipes = recipes.withColumn("root", root(F.col("chunks.digest"))).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "doc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc")
-    recipes.withColumn("file", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    recipes = recipes.withColumn("root", _root("chunks.digest")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "doc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc")
+    # The number of a row within its sorted partition, above which its partition's stands.
+    recipes.withColumn("place", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks/kind=ref")  # the recipes have it all
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _manifest(spark.read.schema(_RECIPES).parquet(f"{path}/recipes")).coalesce(1).write.parquet(f"{path}/manifest")
 
-    written = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
-    files = written.groupBy("file").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list(F.struct("doc_id", "doc", "root"))).alias("roots"))
-    files = files.withColumn("root", root(F.col("roots.root"))).drop("roots")
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files.withColumn("before", before).coalesce(1).write.parquet(f"{path}/manifest")
 
+def _root(of: str):
+    return F.pandas_udf(lambda s: s.map(lambda x: merkle(list(x))), "binary")(F.col(of))
 
-_RECIPES = "doc long, doc_id long, n_tokens long, chunks array<struct<ord:int,n:int,digest:binary>>, root binary, file int"
-_MANIFEST = "file int, docs long, ids long, root binary, before long"
 
+#: Documents under one row of the manifest.
+BLOCK = 4096
+_RECIPES = "doc long, doc_id long, n_tokens long, chunks array<struct<ord:int,n:int,digest:binary>>, root binary, place long"
+_MANIFEST = "file long, block long, docs long, ids long, before long, root binary"
 
-def _refs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_CUT + ", kind string").parquet(f"{path}/chunks").where("kind = 'ref'").drop("kind", "ids")
+
+def _file(place: str = "place"):
+    return F.shiftright(place, 33)
+
+
+def _block(place: str = "place"):
+    return F.floor(F.pmod(F.col(place), F.lit(1 << 33)) / BLOCK)
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """A row per block of documents, and one (of null file) for all. No row holds more than a block's or a file's roots."""
+    blocks = recipes.select(_file().alias("file"), _block().alias("block"), "n_tokens", F.struct("place", "root").alias("leaf"))
+    blocks = blocks.groupBy("file", "block").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list("leaf")).alias("leaves")).withColumn("root", _root("leaves.root")).drop("leaves")
+    files = blocks.groupBy("file").agg(F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("block", "root"))).alias("leaves")).withColumn("root", _root("leaves.root")).drop("leaves")
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    begins = files.select(F.col("file").alias("of_file"), F.coalesce(F.sum("ids").over(ahead(Window.orderBy("file"))), F.lit(0)).alias("begin"))  # a row per file
+    rows = blocks.join(F.broadcast(begins), F.col("file") == F.col("of_file"))
+    before = F.col("begin") + F.coalesce(F.sum("ids").over(ahead(Window.partitionBy("file").orderBy("block"))), F.lit(0))
+    whole = files.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.array_sort(F.collect_list(F.struct("file", "root"))).alias("leaves")).withColumn("root", _root("leaves.root"))
+    none = F.lit(None).cast("long")
+    return rows.select("file", "block", "docs", "ids", before.alias("before"), "root").unionByName(whole.select(none.alias("file"), none.alias("block"), "docs", "ids", F.lit(0).cast("long").alias("before"), "root"))
 
 
 # --- reading ----------------------------------------------------------------------------------------------------------
@@ -208,25 +231,70 @@ def _checked(digests, raws, counts):
     return out
 
 
+def _verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Recipes and manifest, once each is what the other says; an error if a row of either is missing or another."""
+    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
+    told = manifest.select(F.col("file").alias("a"), F.col("block").alias("b"), F.struct("docs", "ids", "before", "root").alias("told"))
+    found = _manifest(recipes).select(F.col("file").alias("c"), F.col("block").alias("d"), F.struct("docs", "ids", "before", "root").alias("found"))
+    met = told.join(found, F.col("a").eqNullSafe(F.col("c")) & F.col("b").eqNullSafe(F.col("d")), "full_outer")
+    bad = met.where(~F.col("told").eqNullSafe(F.col("found"))).select(F.coalesce("a", "c").alias("file"), F.coalesce("b", "d").alias("block")).limit(1).collect()
+    if bad or not manifest.where("file is null").limit(1).collect():
+        raise ValueError(f"the store's recipes are not those of its manifest: {bad[0] if bad else 'no row for all'}")
+    return recipes, manifest.where("file is not null")
+
+
+def _steps(recipes: DataFrame) -> DataFrame:
+    """A row per chunk of a recipe: doc, ord, n, digest, and how many ids of the document come after it."""
+    upto = recipes.select("doc", "n_tokens", "chunks", running(F.col("chunks.n")).alias("upto"))
+    each = upto.select("doc", "n_tokens", F.explode(F.arrays_zip(F.col("chunks").alias("chunk"), F.col("upto"))).alias("x"))
+    return each.select("doc", "x.chunk.ord", "x.chunk.n", "x.chunk.digest", (F.col("n_tokens") - F.col("x.upto")).alias("after"))
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_CUT + ", kind string").parquet(f"{path}/chunks").where("kind = 'chunk'").select("digest", "ids", "n")
+
+
+def _in_place(recipes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """doc, doc_id, n_tokens, root and start, the ids of all documents before; placed by the few rows of the manifest."""
+    rows = recipes.select("doc", "doc_id", "n_tokens", "root", "place", _file().alias("file"), _block().alias("block"))
+    before = manifest.select("file", "block", "before")
+    earlier = Window.partitionBy("file", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(before, ["file", "block"]).select("doc", "doc_id", "n_tokens", "root", (F.col("before") + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).alias("start"))
+
+
+def _or_raise(whole, value, kind: str):
+    lost = F.concat(F.lit("document not whole in the store: "), F.col("doc").cast("string"))
+    return F.when(F.coalesce(whole, F.lit(False)), value).otherwise(F.raise_error(lost).cast(kind))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row per document, verified: doc_id, start, n_tokens, ids_crc32 and its Merkle root."""
     prepare(spark)
-    chunks = spark.read.schema(_CUT + ", kind string").parquet(f"{path}/chunks").where("kind = 'chunk'").select("digest", "ids", "n")
-    chunks = arrow_rows(chunks, _checked, "digest binary, crc long, chunk_n int")
+    recipes, manifest = _verified(spark, path)
+    chunks = arrow_rows(_chunks(spark, path), _checked, "digest binary, crc long, chunk_n int")
     part = F.pandas_udf(lambda crc, after: pd.Series(shifted(crc.to_numpy(), after.to_numpy() * 4).astype(np.int64)), "long")
-    found = _refs(spark, path).join(chunks, "digest").where("n = chunk_n")
-    found = found.select("doc", "ord", "n", "digest", part("crc", "after").alias("part"))
-    docs = found.groupBy("doc").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n").cast("long").alias("got"), F.array_sort(F.collect_list(F.struct("ord", "digest"))).alias("got_chunks"))
-    root = F.pandas_udf(lambda s: s.map(lambda x: merkle(list(x))), "binary")
-    docs = docs.select("doc", "ids_crc32", "got", root(F.col("got_chunks.digest")).alias("got_root"))
-    recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes").select("doc", "doc_id", "n_tokens", "root", "file")
-    manifest = F.broadcast(spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").select("file", "before"))  # a row per recipe file
-    earlier = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "doc").rowsBetween(Window.unboundedPreceding, -1)
-    recipes = recipes.join(manifest, "file").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
-    out = recipes.join(docs, "doc", "left")
+    found = _steps(recipes).join(chunks, "digest").where("n = chunk_n").select("doc", "ord", "n", "digest", part("crc", "after").alias("part"))
+    docs = found.groupBy("doc").agg(F.bit_xor("part").alias("crc"), F.sum("n").cast("long").alias("got"), F.array_sort(F.collect_list(F.struct("ord", "digest"))).alias("leaves"))
+    docs = docs.select(F.col("doc").alias("its_doc"), "crc", "got", _root("leaves.digest").alias("got_root"))
+    out = _in_place(recipes, manifest).join(docs, F.col("doc") == F.col("its_doc"), "left")
     whole = (F.col("got") == F.col("n_tokens")) & (F.col("got_root") == F.col("root"))
-    out = out.withColumn("ids_crc32", F.when(whole, F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("document not whole in the store: "), F.col("doc").cast("string"))).cast("long")))
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32", F.hex("root").alias("root"))
+    return out.select("doc_id", "start", "n_tokens", _or_raise(whole, F.col("crc"), "long").alias("ids_crc32"), F.hex("root").alias("root"))
+
+
+def ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start and the ids of every document, rebuilt by its recipe from verified chunks."""
+    prepare(spark)
+    recipes, manifest = _verified(spark, path)
+
+    def opened(digests, raws, counts):
+        _checked(digests, raws, counts)
+        return [digests, [np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u2").astype(np.int64).tolist() for raw, n in zip(raws, counts)]]
+
+    chunks = arrow_rows(_chunks(spark, path), opened, "digest binary, ids array<long>")
+    docs = _steps(recipes).join(chunks, "digest").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("ord", "ids"))).alias("parts"))
+    out = _in_place(recipes, manifest).join(docs.withColumnRenamed("doc", "its_doc"), F.col("doc") == F.col("its_doc"), "left").withColumn("ids", F.flatten("parts.ids"))
+    return out.select("doc_id", "start", _or_raise(F.size("ids") == F.col("n_tokens"), F.col("ids"), "array<long>").alias("ids"))
 
 
 def round_trip(docs: DataFrame, store: Store) -> DataFrame:

@@ -366,8 +366,7 @@ def test_token_store(docs, spark, tmp_path):
 
     path = queries.tokenizer("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    texts = [*mixed_texts(), "a  b\n\n c", "it's\tx y\n", "tail ", "\nhead"]
+    texts = [*mixed_texts(), "a <|endoftext|> b", "<|endoftext|>", "a  b\n\n c", "it's\tx y\n", "tail ", "\nhead"]
     table = [(i * 7 % 31 - 5 if i else None, t) for i, t in enumerate(texts)]
     out = [tuple(r) for r in token_store.round_trip(docs(table), token_store.Store(path)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     start, want = 0, []
@@ -381,21 +380,43 @@ def test_token_store(docs, spark, tmp_path):
     assert sorted(r["start"] for r in again)[0] == 0 and len(again) == 3
 
 
-def test_chunks_are_stored_once_and_damage_is_found(docs, spark, tmp_path):
-    store, path = token_store.Store(queries.tokenizer("byte_bpe_50k.json")), f"file://{tmp_path}/s"
-    token_store.write(docs([LONG, LONG, LONG[5:]]), path, store)
-    chunks = spark.read.parquet(f"{path}/chunks").where("kind = 'chunk'")
-    assert chunks.count() == chunks.select("digest").distinct().count() > 10
-    refs = spark.read.parquet(f"{path}/chunks").where("kind = 'ref'")
-    assert refs.count() > 2 * chunks.count()
-    bad = chunks.withColumn("ids", F.when(F.col("digest") == chunks.agg(F.min("digest")).first()[0], F.reverse(F.hex("ids")).cast("binary")).otherwise(F.col("ids"))).drop("kind")
-    bad.coalesce(1).write.parquet(f"file://{tmp_path}/t")
+def test_chunks_are_stored_once_and_any_loss_is_found(docs, spark, tmp_path):
     import shutil
 
-    shutil.rmtree(tmp_path / "s/chunks/kind=chunk")
-    shutil.copytree(tmp_path / "t", tmp_path / "s/chunks/kind=chunk")
-    with pytest.raises(Exception, match="other ids"):
-        token_store.read(spark, path).collect()
+    store, whole = token_store.Store(queries.tokenizer("byte_bpe_50k.json")), tmp_path / "s"
+    texts = [LONG, LONG, LONG[5:], None, "a <|endoftext|> b"]
+    token_store.write(docs(texts), f"file://{whole}", store)
+    chunks = spark.read.parquet(f"file://{whole}/chunks").where("kind = 'chunk'")
+    assert chunks.count() == chunks.select("digest").distinct().count() > 10
+    recipes = spark.read.parquet(f"file://{whole}/recipes")
+    assert recipes.agg(F.sum(F.size("chunks"))).first()[0] > 2 * chunks.count()
+    enc, at = encoder(store.tokenizer), 0
+    for r in token_store.ids(spark, f"file://{whole}").orderBy("doc_id").collect():
+        want = np.frombuffer(enc.ids(texts[r["doc_id"]] or ""), "<u4").tolist() + [0]
+        assert (r["ids"], r["start"]) == (want, at)
+        at += len(want)
+
+    def without(name, keep, change=None):
+        """The store with other rows in one of its tables."""
+        copy = tmp_path / f"c{len(list(tmp_path.iterdir()))}"
+        shutil.copytree(whole, copy)
+        rows_ = spark.read.parquet(f"file://{whole}/{name}").where(keep)
+        shutil.rmtree(copy / name)
+        (change(rows_) if change else rows_).write.parquet(f"file://{copy}/{name}")
+        return f"file://{copy}"
+
+    for name, keep in (("recipes", "doc_id != 2"), ("manifest", "file is null"), ("manifest", "file is not null"), ("recipes", "false")):
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.read(spark, without(name, keep)).collect()
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.ids(spark, without("recipes", "true", lambda df: df.withColumn("n_tokens", F.col("n_tokens") + 1)))
+    least = chunks.agg(F.min("digest")).first()[0]
+    lost = without("chunks/kind=chunk", F.col("digest") != least)
+    other = without("chunks/kind=chunk", "true", lambda df: df.withColumn("ids", F.when(F.col("digest") == least, F.reverse(F.hex("ids")).cast("binary")).otherwise(F.col("ids"))))
+    for path, said in ((lost, "not whole"), (other, "other ids")):
+        for fn in (token_store.read, token_store.ids):
+            with pytest.raises(Exception, match=said):
+                fn(spark, path).collect()
 
 
 def test_checksums_combine():
@@ -662,10 +683,12 @@ def test_constraints_hold_in_the_trees():
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_gives_the_library_ids(name):
-    enc = encoder(queries.tokenizer(name))
-    odd = ["", " ", "\n", "a  b", "it's I'LL don't", "a\tb", "a\n\nb ", "Üñï cö́d́ 12ab", "x y z", "<|endoftext|> a", "ΟΔΟΣ. Σ", "a" * 400, "foo_bar!! ok,", "a  b"]
+    from tokenizers import Tokenizer
+
+    enc, plain = encoder(queries.tokenizer(name)), Tokenizer.from_file(queries.tokenizer(name))
+    odd = ["x<|endoftext|>y", "<|ENDOFTEXT|>", "<|endoftext|", *(f"q {t.content} z" for t in plain.get_added_tokens_decoder().values()), "", " ", "\n", "a  b", "it's I'LL don't", "a\tb", "a\n\nb ", "Üñï cö́d́ 12ab", "x y z", "<|endoftext|> a", "ΟΔΟΣ. Σ", "a" * 400, "foo_bar!! ok,", "a  b"]
     for text in odd + [t for t in mixed_texts() if t]:
-        assert np.frombuffer(enc.ids(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text[:30]
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:30]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
