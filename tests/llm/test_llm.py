@@ -632,6 +632,24 @@ def test_topk(spark):
     assert topk.search(df.where("vec_id in (100, 101, 102)")).count() == 2
 
 
+def test_topk_of_large_ragged_and_empty_vectors(spark):
+    """Components whose sums no double holds, vectors of any length, and scores beyond a long."""
+    rng = np.random.default_rng(15)
+    big = lambda n: (rng.integers(-9, 10, n) * 10.0 ** rng.integers(0, 14, n)).astype(np.float32).tolist()
+    vecs = [(int(i), big(int(rng.integers(3, 7)))) for i in range(150)]
+    vecs += [(150 + i, [x + i % 3 for x in [2.0**24, -(2.0**23), 1.0, 0.5]]) for i in range(60)] + [(300, []), (301, []), (302, [1e30, -1e30, 1.0]), (303, [1e30, 1e30]), (304, [3e38])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    q = {i: [int(np.floor(np.float64(np.float32(x)) * 1024)) for x in v] for i, v in vecs}
+    dot = lambda a, b: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(a, b))))
+    for spec in (topk.Search(every=1, sample=40, rows=16, block=50), topk.Search(every=100)):
+        want = []
+        for i in q:
+            if i % spec.every == 0:
+                best = sorted((-dot(q[i], q[j]), j) for j in q if j != i)[: spec.k]
+                want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        assert sorted(map(tuple, topk.search(df, spec).collect())) == sorted(want)
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------------
 
 
