@@ -10,7 +10,7 @@ each level and row, into one ordered capture history.
 
 Nulls: a null html is an empty payload; a null url has the key ``''``; a null page_id comes before all others, so it is
 a revisit where a copy has an id. Rows of the same page_id and payload all have the largest page_id and are all response.
-An empty table gives no archive and an empty result. Extra columns are not read.
+An empty table gives no archive and an empty result. Any page_id is taken, however large. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from .common import new_path, prepare, written
 
 #: Shorter payloads are written each time.
 LEAST = 1000
-#: Most records of one archive.
-RECORDS = 10_000
+#: Most records of one archive, and bytes that it has at most unless one record has more.
+RECORDS, ARCHIVE_BYTES = 10_000, 1 << 28
+#: Index rows of one range, which a task holds while it merges them.
+RANGE_ROWS = 200_000
 END = "\r\n\r\n"
 #: Most payloads with copies that are broadcast; more of them are joined by a shuffle.
 BROADCAST = 100_000
@@ -50,7 +52,7 @@ def records(pages: DataFrame) -> DataFrame:
     first = written(first, "kept-payloads")
     told = told.join(F.broadcast(first) if first.count() <= BROADCAST else first, key == first["same"], "left")
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    date = F.date_format(F.timestamp_seconds(F.lit(BASE_SECONDS) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(BASE_SECONDS) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(MOST_SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -59,6 +61,7 @@ def records(pages: DataFrame) -> DataFrame:
         line("WARC-Date", date),
         F.when(F.col("url").isNull(), F.lit("")).otherwise(line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "%0A"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        F.when(revisit, F.lit("")).otherwise(line("Content-Type", F.lit("text/html; charset=UTF-8"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("kept").cast("string"), F.lit(">"))), line("X-Payload-Length", F.col("bytes").cast("string")))).otherwise(F.lit("")),
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
         F.lit("\r\n"),
@@ -68,11 +71,16 @@ def records(pages: DataFrame) -> DataFrame:
 
 #: Pages have no time of capture; page_id seconds after this date stands in for it.
 BASE_SECONDS = 1_704_067_200
+#: Ids from here on, and those below zero, stand for the seconds that remain when divided by it, so that any id gives a date of four-digit years.
+MOST_SECONDS = 1 << 37
 
 
 def write(pages: DataFrame, path: str) -> None:
+    """Archives under ``path``, none of more bytes than can be read at once: the largest payload says how many records fit."""
     prepare(pages.sparkSession)
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    largest = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
+    fit = max(1, min(RECORDS, ARCHIVE_BYTES // (largest + 4096)))
+    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", fit).text(path)
 
 
 # --- reading ----------------------------------------------------------------------------------------------------------
@@ -227,7 +235,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     spark_path = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     runs = spark_path.mapInArrow(_parsed, _RUN)
     runs = written(runs, "capture-runs")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
     return runs.repartitionByRange(parts, "url_key", "captured", F.col("page_id").asc_nulls_first()).mapInArrow(_merged, _RUN)
 
 

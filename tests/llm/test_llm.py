@@ -559,6 +559,28 @@ def test_warc(spark):
     assert warc.url_key("http://www.b.com/a?q=1") == "com,b)/a?q=1"
 
 
+def test_warc_of_any_id_and_long_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1 << 20)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 3)
+    long = "<p>é\r\n\r\n" * 200_000
+    table = [(2**62, "http://a.b", "x"), (-(2**62), "http://a.b", "y"), (10**12, "http://a.b", long), (3, "http://a.b", long), (2**63 - 1, None, ""), (5, "http://c.d", long[:-1])] + [(100 + i, "http://a.b", "same") for i in range(20)]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == len(table) and got[3]["refers_to"] == 10**12 and got[10**12]["record_type"] == "response" and got[5]["payload_bytes"] == len(long.encode()) - 1
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", r["captured"]) for r in got.values())
+    rows_ = warc.index(spark, _archives(spark, pages)).collect()
+    keys = [(r["url_key"], r["captured"], r["page_id"]) for r in rows_]
+    assert keys == sorted(keys) and len({r["archive"] for r in rows_}) > 5
+
+
+def _archives(spark, pages):
+    from pii_lens.llm.common import new_path
+
+    path = new_path(spark, "test-warc")
+    warc.write(pages, path)
+    return path
+
+
 def test_loser_tree_merges():
     rng = np.random.default_rng(7)
     for k in (0, 1, 2, 3, 5, 8, 13):
