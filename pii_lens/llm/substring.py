@@ -53,7 +53,7 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(0xB492B66FBE98F273), _Powers(0x9E3779B97F4A7C15)
+_BYTES, WORD_POWERS = _Powers(0xB492B66FBE98F273), _Powers(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -78,7 +78,7 @@ def word_hashes(raw: bytes) -> np.ndarray:
 
 def window_hashes(words: np.ndarray) -> np.ndarray:
     at = np.arange(len(words) - WINDOW + 1)
-    return run_hashes(words, at, at + WINDOW, _WORDS)
+    return run_hashes(words, at, at + WINDOW, WORD_POWERS)
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -98,11 +98,11 @@ def stretches(raw: bytes) -> tuple[np.ndarray, ...]:
     if len(words) < WINDOW:
         return (np.zeros(0, np.int64),) * 4
     at = np.arange(len(words) - GRAM + 1)
-    grams = run_hashes(words, at, at + GRAM, _WORDS)
+    grams = run_hashes(words, at, at + GRAM, WORD_POWERS)
     anchor = _least(grams, WINDOW - GRAM + 1)
     cut = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
     first, last = cut[:-1], cut[1:]
-    return first, last - first, grams[anchor[first]].view(np.int64), run_hashes(words, first, last + WINDOW - 1, _WORDS).view(np.int64)
+    return first, last - first, grams[anchor[first]].view(np.int64), run_hashes(words, first, last + WINDOW - 1, WORD_POWERS).view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
