@@ -16,7 +16,7 @@ from functools import lru_cache
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts kept by a worker, and the longest one that is; when there are more, the cache starts anew.
-CACHE, LONGEST = 1_000_000, 100
+CACHE, LONGEST = 500_000, 100
 
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 

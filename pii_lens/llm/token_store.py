@@ -7,11 +7,12 @@ chunks. The store has three tables under its folder:
 * ``recipes``: a row per document in ascending doc_id order, in files that follow each other: its number of ids, its
   chunks in order and the Merkle root of their digests;
 * ``manifest``: a row for each ``BLOCK`` documents of a recipe file: how many they are, their ids, how many ids come
-  before them, and the Merkle root of their documents' roots; and a row for all, with the root of the files' roots.
+  before them, a checksum of their recipes, and the Merkle root of their documents' roots; and a row for all, with the root
+  of the files' roots.
 
 Reading back recomputes the manifest from the recipes and raises if any row of either is missing or other than it was;
-hashes every chunk again; checks each document's chunks against its Merkle root; and computes each document's checksum
-from its chunks' checksums, which combine, so no chunk is moved to the documents that hold it. ``ids`` does move them,
+computes documents' Merkle roots anew; hashes every chunk again; raises where a document lacks one; and computes each
+document's checksum from its chunks' checksums, which combine, so no chunk is moved to the documents that hold it. ``ids`` does move them,
 and gives the documents' ids.
 
 Nulls: a null text is empty (its end id alone); a null doc_id comes first. Repeated rows are documents of their own;
@@ -31,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import running
 from .common import arrow_rows, new_path, prepare
 from .encoding import encoder
 
@@ -174,7 +174,7 @@ def write(docs: DataFrame, path: str, store: Store) -> None:
     dealt.mapInArrow(_keep_once, _CUT + ", kind string").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
 
     refs = spark.read.schema(_CUT + ", kind string").parquet(f"{path}/chunks").where("kind = 'ref'")
-    recipes = refs.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("ord", "n", "digest"))).alias("chunks"))
+    recipes = refs.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("ord", "n", "after", "digest"))).alias("chunks"))
     recipes = recipes.withColumn("root", _root("chunks.digest")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "doc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc")
     # The number of a row within its sorted partition, above which its partition's stands.
     recipes.withColumn("place", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -189,8 +189,8 @@ def _root(of: str):
 
 #: Documents under one row of the manifest.
 BLOCK = 4096
-_RECIPES = "doc long, doc_id long, n_tokens long, chunks array<struct<ord:int,n:int,digest:binary>>, root binary, place long"
-_MANIFEST = "file long, block long, docs long, ids long, before long, root binary"
+_RECIPES = "doc long, doc_id long, n_tokens long, chunks array<struct<ord:int,n:int,after:long,digest:binary>>, root binary, place long"
+_MANIFEST = "file long, block long, docs long, ids long, check long, before long, root binary"
 
 
 def _file(place: str = "place"):
@@ -202,17 +202,20 @@ def _block(place: str = "place"):
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """A row per block of documents, and one (of null file) for all. No row holds more than a block's or a file's roots."""
-    blocks = recipes.select(_file().alias("file"), _block().alias("block"), "n_tokens", F.struct("place", "root").alias("leaf"))
-    blocks = blocks.groupBy("file", "block").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.array_sort(F.collect_list("leaf")).alias("leaves")).withColumn("root", _root("leaves.root")).drop("leaves")
-    files = blocks.groupBy("file").agg(F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("block", "root"))).alias("leaves")).withColumn("root", _root("leaves.root")).drop("leaves")
+    """A row per block of documents, and one (of null file) for all. No row holds more than a block's or a file's roots.
+
+    ``check`` is over all that a recipe says; roots are over the chunks alone, for who holds only those.
+    """
+    blocks = recipes.select(_file().alias("file"), _block().alias("block"), "n_tokens", F.xxhash64("doc", "doc_id", "n_tokens", "chunks", "place").alias("check"), F.struct("place", "root").alias("leaf"))
+    blocks = blocks.groupBy("file", "block").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.bit_xor("check").alias("check"), F.array_sort(F.collect_list("leaf")).alias("leaves")).withColumn("root", _root("leaves.root")).drop("leaves")
+    files = blocks.groupBy("file").agg(F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), F.bit_xor("check").alias("check"), F.array_sort(F.collect_list(F.struct("block", "root"))).alias("leaves")).withColumn("root", _root("leaves.root")).drop("leaves")
     ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     begins = files.select(F.col("file").alias("of_file"), F.coalesce(F.sum("ids").over(ahead(Window.orderBy("file"))), F.lit(0)).alias("begin"))  # a row per file
     rows = blocks.join(F.broadcast(begins), F.col("file") == F.col("of_file"))
     before = F.col("begin") + F.coalesce(F.sum("ids").over(ahead(Window.partitionBy("file").orderBy("block"))), F.lit(0))
-    whole = files.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.array_sort(F.collect_list(F.struct("file", "root"))).alias("leaves")).withColumn("root", _root("leaves.root"))
+    whole = files.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), F.coalesce(F.bit_xor("check"), F.lit(0)).alias("check"), F.array_sort(F.collect_list(F.struct("file", "root"))).alias("leaves")).withColumn("root", _root("leaves.root"))
     none = F.lit(None).cast("long")
-    return rows.select("file", "block", "docs", "ids", before.alias("before"), "root").unionByName(whole.select(none.alias("file"), none.alias("block"), "docs", "ids", F.lit(0).cast("long").alias("before"), "root"))
+    return rows.select("file", "block", "docs", "ids", "check", before.alias("before"), "root").unionByName(whole.select(none.alias("file"), none.alias("block"), "docs", "ids", "check", F.lit(0).cast("long").alias("before"), "root"))
 
 
 # --- reading ----------------------------------------------------------------------------------------------------------
@@ -232,11 +235,13 @@ def _checked(digests, raws, counts):
 
 
 def _verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Recipes and manifest, once each is what the other says; an error if a row of either is missing or another."""
+    """Recipes and manifest, once each is what the other says; an error if a row of either is missing or another.
+
+    Documents' roots are computed anew from their chunks' digests."""
     recipes = spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
-    told = manifest.select(F.col("file").alias("a"), F.col("block").alias("b"), F.struct("docs", "ids", "before", "root").alias("told"))
-    found = _manifest(recipes).select(F.col("file").alias("c"), F.col("block").alias("d"), F.struct("docs", "ids", "before", "root").alias("found"))
+    told = manifest.select(F.col("file").alias("a"), F.col("block").alias("b"), F.struct("docs", "ids", "check", "before", "root").alias("told"))
+    found = _manifest(recipes.withColumn("root", _root("chunks.digest"))).select(F.col("file").alias("c"), F.col("block").alias("d"), F.struct("docs", "ids", "check", "before", "root").alias("found"))
     met = told.join(found, F.col("a").eqNullSafe(F.col("c")) & F.col("b").eqNullSafe(F.col("d")), "full_outer")
     bad = met.where(~F.col("told").eqNullSafe(F.col("found"))).select(F.coalesce("a", "c").alias("file"), F.coalesce("b", "d").alias("block")).limit(1).collect()
     if bad or not manifest.where("file is null").limit(1).collect():
@@ -246,9 +251,7 @@ def _verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def _steps(recipes: DataFrame) -> DataFrame:
     """A row per chunk of a recipe: doc, ord, n, digest, and how many ids of the document come after it."""
-    upto = recipes.select("doc", "n_tokens", "chunks", running(F.col("chunks.n")).alias("upto"))
-    each = upto.select("doc", "n_tokens", F.explode(F.arrays_zip(F.col("chunks").alias("chunk"), F.col("upto"))).alias("x"))
-    return each.select("doc", "x.chunk.ord", "x.chunk.n", "x.chunk.digest", (F.col("n_tokens") - F.col("x.upto")).alias("after"))
+    return recipes.select("doc", F.explode("chunks").alias("x")).select("doc", "x.ord", "x.n", "x.digest", "x.after")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -274,12 +277,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     recipes, manifest = _verified(spark, path)
     chunks = arrow_rows(_chunks(spark, path), _checked, "digest binary, crc long, chunk_n int")
     part = F.pandas_udf(lambda crc, after: pd.Series(shifted(crc.to_numpy(), after.to_numpy() * 4).astype(np.int64)), "long")
-    found = _steps(recipes).join(chunks, "digest").where("n = chunk_n").select("doc", "ord", "n", "digest", part("crc", "after").alias("part"))
-    docs = found.groupBy("doc").agg(F.bit_xor("part").alias("crc"), F.sum("n").cast("long").alias("got"), F.array_sort(F.collect_list(F.struct("ord", "digest"))).alias("leaves"))
-    docs = docs.select(F.col("doc").alias("its_doc"), "crc", "got", _root("leaves.digest").alias("got_root"))
+    found = _steps(recipes).join(chunks, "digest").where("n = chunk_n").select("doc", "n", part("crc", "after").alias("part"))
+    docs = found.groupBy(F.col("doc").alias("its_doc")).agg(F.bit_xor("part").alias("crc"), F.sum("n").alias("got"))
     out = _in_place(recipes, manifest).join(docs, F.col("doc") == F.col("its_doc"), "left")
-    whole = (F.col("got") == F.col("n_tokens")) & (F.col("got_root") == F.col("root"))
-    return out.select("doc_id", "start", "n_tokens", _or_raise(whole, F.col("crc"), "long").alias("ids_crc32"), F.hex("root").alias("root"))
+    return out.select("doc_id", "start", "n_tokens", _or_raise(F.col("got") == F.col("n_tokens"), F.col("crc"), "long").alias("ids_crc32"), F.hex("root").alias("root"))
 
 
 def ids(spark: SparkSession, path: str) -> DataFrame:
