@@ -45,15 +45,17 @@ def shingle_hashes(words: list[bytes], length: int = SHINGLE) -> list[int]:
     return [h(joined[a:b], SEED) for a, b in zip(starts, (ends[length - 1 :] - 1).tolist())]
 
 
-def fingerprint(text: str | None) -> int:
-    hashes = shingle_hashes(words_of(text))
-    if not hashes:
-        return 0
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes of 64 bits; of none, zero."""
     n = len(hashes)
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    return majority(np.array(shingle_hashes(words_of(text)), "<u8"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint, as a signed long, of every row."""
     prepare(docs.sparkSession)

@@ -541,6 +541,36 @@ def test_near_duplicates_of_the_pipeline_are_those_of_brute_force(docs, spark):
     assert near.keep_first(docs([])).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline_go_by_fingerprints_first(docs, spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 20)]
+    prints = [(100 * i + k, b ^ (1 << k if k else 0) ^ (2 << k if k > 4 else 0)) for i, b in enumerate(base) for k in range(8)] + [(9000 + i, b) for i, b in enumerate(base)]
+    got = [tuple(r) for r in near.by_fingerprint(spark.createDataFrame(prints, "node long, fp long")).collect()]
+    by_node = dict(prints)
+    assert got and all(a < b and (by_node[a] ^ by_node[b]).bit_count() <= 3 for a, b in got) and len(set(got)) == len(got)
+    root = {n: n for n, _ in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a, x in prints for b, y in prints if (x ^ y).bit_count() <= 3)
+    # Near copies that meet by fingerprint alone are linked, once their similarity is enough: no shingle brings them together here.
+    words_ = [f"w{i}" for i in range(400)]
+    table = docs([" ".join(words_), " ".join([*words_[:-1], "other"]), " ".join(words_[::-1])])
+    rows_ = simhash.numbered(table)
+    found = near.copies(rows_, near.Near()).select(simhash.ROW, "fp", "low", "need").withColumnRenamed(simhash.ROW, "node")
+    met = near.by_fingerprint(found.select("node", "fp"))
+    texts = near.common_shingles(rows_, found, near.Near())
+    assert met.count() == 1 and near.similar(met, texts, near.Near()).collect() == met.collect()
+    asked = []
+    monkeypatch.setattr(near, "linked_prints", lambda fps: asked.append(1) or simhash.links(fps))
+    assert [r[0] for r in rows(near.keep_first(table), "doc_id")] == [0, 2] and asked
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------------------
 
 
