@@ -25,6 +25,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,11 @@ class Store:
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+@lru_cache
+def _turns(window: int) -> list[np.uint64]:
+    return [np.uint64(pow(int(_MIX), 2 * j + 1, 1 << 64)) for j in range(window)]
+
+
 def borders(ids: np.ndarray, store: Store) -> list[int]:
     """Where the chunks of one document end. A border depends on the ``window`` ids before it alone."""
     n = len(ids)
@@ -58,9 +64,9 @@ def borders(ids: np.ndarray, store: Store) -> list[int]:
         return [n]
     x = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
     x ^= x >> np.uint64(29)
-    h = np.zeros(n, np.uint64)
-    for j in range(store.window):  # a sum over the last ids, each turned by its distance
-        h[j:] += x[: n - j] * (_MIX ** np.uint64(2 * j + 1)) if j else x
+    h = x.copy()
+    for j, turn in enumerate(_turns(store.window)[1:], 1):  # a sum over the last ids, each turned by its distance
+        h[j:] += x[: n - j] * turn
     hits = np.flatnonzero((h >> np.uint64(64 - store.mean_bits)) == 0) + 1
     ends, last = [], 0
     for at in hits.tolist():
@@ -101,14 +107,21 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _tables(k: int) -> tuple[np.uint64, np.ndarray]:
+    """x^8 to the power 2^k, and its products with each value of each of the four bytes."""
+    power = np.uint64(1 << 23) if k == 0 else _times(*(np.array([_tables(k - 1)[0]]),) * 2)[0]
+    of = np.arange(256, dtype=np.uint64) << (np.arange(4, dtype=np.uint64) * np.uint64(8))[:, None]
+    return power, _times(np.broadcast_to(power, of.shape), of)
+
+
 def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     """The part that a block's CRC-32 has in that of the whole, if so many bytes follow it; parts combine by xor."""
     crc, n = crc.astype(np.uint64), n_bytes.astype(np.uint64)
-    power = np.array([1 << 23], np.uint64)  # x^8
-    while n.any():
-        odd = (n & np.uint64(1)).astype(bool)
-        crc[odd] = _times(np.broadcast_to(power, int(odd.sum())), crc[odd])
-        power, n = _times(power, power), n >> np.uint64(1)
+    for k in range(int(n.max(initial=0)).bit_length()):
+        odd = (n >> np.uint64(k) & np.uint64(1)).astype(bool)
+        x, of = crc[odd], _tables(k)[1]
+        crc[odd] = of[0][x & np.uint64(255)] ^ of[1][x >> np.uint64(8) & np.uint64(255)] ^ of[2][x >> np.uint64(16) & np.uint64(255)] ^ of[3][x >> np.uint64(24)]
     return crc
 
 

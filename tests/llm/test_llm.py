@@ -419,6 +419,18 @@ def test_chunks_are_stored_once_and_any_loss_is_found(docs, spark, tmp_path):
                 fn(spark, path).collect()
 
 
+def test_parts_in_use_outlive_a_full_cache(monkeypatch):
+    from pii_lens.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHE", 40)
+    enc = encoding.Encoder(queries.tokenizer("byte_bpe_50k.json"))
+    asked, letters = [], enc.spaced.letters
+    enc.spaced.letters = lambda word: asked.append(word) or letters(word)
+    text = "x " + " ".join(f"often rare{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uv'[i // 100]}" for i in range(200))
+    want = np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert enc.ids(text) == want and asked.count("often") == 1 and len(asked) == 201 and len(enc.spaced) + len(enc.spaced.old) <= 40
+
+
 def test_checksums_combine():
     rng = np.random.default_rng(4)
     parts = [rng.bytes(int(n)) for n in (0, 1, 7, 4000)]
