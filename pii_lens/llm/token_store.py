@@ -132,7 +132,7 @@ _CUT = "doc long, doc_id long, ord int, n int, after long, digest binary, ids bi
 
 def _cut(docs: DataFrame, store: Store) -> DataFrame:
     """A row per chunk; ``ids`` is null where the same task has given them before."""
-    path, end = store.tokenizer, np.uint32(store.end_id).tobytes()
+    path, end = store.tokenizer, np.uint32(store.end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -140,8 +140,9 @@ def _cut(docs: DataFrame, store: Store) -> DataFrame:
         wide = enc.tokenizer.get_vocab_size() > 1 << 16
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for doc, doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(enc.ids(text or "") + end, "<u4")
+            numbers, doc_ids, texts = (c.to_pylist() for c in batch.columns)
+            for doc, doc_id, found in zip(numbers, doc_ids, enc.many([text or "" for text in texts])):
+                ids = np.append(found, end)
                 small, last = ids.astype("<u4" if wide else "<u2"), 0
                 for k, at in enumerate(borders(ids, store)):
                     raw = small[last:at].tobytes()

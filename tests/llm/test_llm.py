@@ -431,6 +431,18 @@ def test_parts_in_use_outlive_a_full_cache(monkeypatch):
     assert enc.ids(text) == want and asked.count("often") == 1 and len(asked) == 201 and len(enc.spaced) + len(enc.spaced.old) <= 40
 
 
+def test_texts_together_look_up_each_word_once():
+    from pii_lens.llm import encoding
+
+    enc = encoding.Encoder(queries.tokenizer("byte_bpe_50k.json"))
+    asked, letters = [], enc.spaced.letters
+    enc.spaced.letters = lambda word: asked.append(word) or letters(word)
+    texts = [f"x often{'!' * i} seen, often{'?' * i}" for i in range(1, 30)]
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.many(texts)] == want and sorted(asked) == ["often", "seen", "x"]
+    assert set(enc.spaced) == {"often", "seen", "x"}  # words with their signs take no room
+
+
 def test_checksums_combine():
     rng = np.random.default_rng(4)
     parts = [rng.bytes(int(n)) for n in (0, 1, 7, 4000)]
@@ -773,6 +785,19 @@ def test_encoder_gives_the_library_ids(name):
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:30]
 
 
+@pytest.mark.parametrize("together", [30, 4 << 20])
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_texts_together_have_the_library_ids(name, together, monkeypatch):
+    from pii_lens.llm import encoding
+
+    monkeypatch.setattr(encoding, "TOGETHER", together)
+    enc = encoding.Encoder(queries.tokenizer(name))
+    texts = ["", " ", "\n", "a  b", " a", "a ", "it's I'LL don't, it!'s", "a\tb", "a\n\nb ", "a\nb!\nÜñï, c\n", "Üñï cö́d́ 12ab", "x<|endoftext|>y", "<|ENDOFTEXT|> a", "ΟΔΟΣ. Σ", "foo_bar!! ok,", "ok,, ok ok!", "!! ?", "\nfirst. a", "a" * 400, "", "ª º µ ªb,", "a\u2028b c\u00a0"]
+    texts += [t for t in mixed_texts() if t]
+    assert [x.tolist() for x in enc.many(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(enc.many([])) == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(name, same):
     same(queries.QUERIES[name], queries.ORACLE_SQL[name])
