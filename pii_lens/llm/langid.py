@@ -18,6 +18,7 @@ row each. Extra columns are not read.
 from __future__ import annotations
 
 import re
+import weakref
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from functools import cached_property
@@ -106,8 +107,9 @@ class Rows(dict):
 
     def __init__(self, model: Model):
         super().__init__(model.words)
-        self.model, self.next = model, len(model.words)
-        self.table = np.vstack([model.table, np.zeros((CACHE, len(model.langs)))])
+        self.model, self.next = weakref.proxy(model), len(model.words)  # no cycle: all goes with the model
+        self.table = np.empty((len(model.table) + CACHE, len(model.langs)))  # rows take memory once they are written
+        self.table[: len(model.table)] = model.table
 
     def make_room(self, n: int) -> None:
         """Room for ``n`` words; unseen ones start anew where there is none."""

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pii_lens.llm import fm_index, langid, mixing, near, packing, quality, queries, secrets, simhash, substring, token_store, topk, warc
+from pii_lens.llm import common, fm_index, langid, mixing, near, packing, quality, queries, secrets, simhash, substring, token_store, topk, warc
 from pii_lens.llm.encoding import encoder
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -443,6 +443,36 @@ def test_texts_together_look_up_each_word_once():
     assert set(enc.spaced) == {"often", "seen", "x"}  # words with their signs take no room
 
 
+def test_packing_keeps_fewer_parts(monkeypatch):
+    from pii_lens.llm import encoding
+
+    monkeypatch.setattr(packing, "CACHE", 40)
+    spec = packing.Pack(queries.tokenizer("word_bpe_49k.json"))
+    cut = {}
+    monkeypatch.setattr(packing, "arrow_rows", lambda df, fn, schema: cut.setdefault("fn", fn))
+    packing.pieces(type("Docs", (), {"select": lambda self, *names: self})(), spec)
+    text = " ".join(f"rare{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uv'[i // 100]}" for i in range(200))
+    enc = encoding.encoder(spec.tokenizer, 40)
+    assert cut["fn"]([7], [text])[4] == [len(enc.tokenizer.encode(text, add_special_tokens=False).ids) + 1]
+    assert 0 < len(enc.plain) + len(enc.plain.old) <= 40
+    encoding.encoder.cache_clear()
+
+
+def test_scores_of_words_go_with_their_model():
+    import gc
+    import weakref
+
+    model = langid.Model(["aa"], {"x": 0}, np.zeros((1, 1)), [{}], np.zeros((0, 1)), (1,), np.full(1, -12.0))
+    assert model.predict("x y") == ("aa", 1.0)
+    rows = weakref.ref(model.rows)
+    gc.disable()
+    try:
+        del model
+        assert rows() is None
+    finally:
+        gc.enable()
+
+
 def test_checksums_combine():
     rng = np.random.default_rng(4)
     parts = [rng.bytes(int(n)) for n in (0, 1, 7, 4000)]
@@ -803,6 +833,22 @@ def test_query_equals_its_sql(name, same):
     same(queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+def test_each_stage_has_the_heap_handed_back(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    class Begun(Exception):
+        pass
+
+    def begun(session):
+        raise Begun
+
+    common.hand_back(spark)  # runs
+    monkeypatch.setattr(cp.common, "hand_back", begun)
+    for _, stage in cp.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
+
+
 def test_pipeline(docs, spark, monkeypatch):
     import corpus_pipeline as cp
 
