@@ -189,7 +189,8 @@ def write(docs: DataFrame, path: str, store: Store) -> None:
 
     refs = spark.read.schema(_CUT + ", kind string").parquet(f"{path}/chunks").where("kind = 'ref'")
     recipes = refs.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("ord", "n", "after", "digest"))).alias("chunks"))
-    recipes = recipes.withColumn("root", _root("chunks.digest")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "doc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc")
+    recipes = recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "doc").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "doc")
+    recipes = recipes.withColumn("root", _root("chunks.digest"))  # here, as what is dealt by range is computed twice, once to draw the ranges
     # The number of a row within its sorted partition, above which its partition's stands.
     recipes.withColumn("place", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks/kind=ref")  # the recipes have it all

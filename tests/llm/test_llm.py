@@ -443,6 +443,33 @@ def test_texts_together_look_up_each_word_once():
     assert set(enc.spaced) == {"often", "seen", "x"}  # words with their signs take no room
 
 
+def test_new_words_go_to_the_model_many_in_a_call(monkeypatch):
+    from pii_lens.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHE", 300)
+    enc = encoding.Encoder(queries.tokenizer("byte_bpe_50k.json"))
+    asked, tokenize = [], enc.spaced.tokenize
+    enc.spaced.tokenize = lambda word: asked.append(word) or tokenize(word)
+    words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{('word', 'schön', 'àÿ')[i % 3]}" for i in range(100)]
+    for texts in ([f"x {w} {v}," for w, v in zip(words, words[1:])], [f"{w}s often\n{w}z" for w in words], ["x " + " ".join(f"{w}{v}" for v in words) for w in words[:3]], [" ", "\n "]):
+        want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in enc.many(texts)] == want
+        assert len(enc.spaced) + len(enc.spaced.old) <= 300
+        assert [x.tolist() for t in texts for x in enc.many([t])] == want and list(map(enc.ids, texts)) == [np.array(w, "<u4").tobytes() for w in want]
+        assert len(enc.spaced) + len(enc.spaced.old) <= 300
+    together = [x for x in asked if x.count("Ġ") > 1]
+    assert together and all(x.count("Ġ") == encoding.CALL for x in together)
+
+
+def test_words_are_told_apart_unless_a_merge_joins_them():
+    from pii_lens.llm import encoding
+
+    model = {"type": "BPE", "dropout": None, "ignore_merges": False, "merges": [["Ġ", "t"], ["ĠÂł", "ĠÂł"], ["Ġ", "Ġ"]]}
+    assert encoding._apart({"model": model})
+    for other in ({"merges": [["e", "Ġ"]]}, {"merges": ["ĠÃł Ġt"]}, {"ignore_merges": True}, {"end_of_word_suffix": "</w>"}, {"type": "WordPiece"}):
+        assert not encoding._apart({"model": model | other})
+
+
 def test_packing_keeps_fewer_parts(monkeypatch):
     from pii_lens.llm import encoding
 
